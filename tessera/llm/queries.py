@@ -78,8 +78,8 @@ select b.query_id, b.chunk_id from b join n using (query_id) where n.scores >= 3
 
 P7_SQL = """
 with u as (select chunk_id, min(vector) v from chunk_vectors where chunk_id is not null and len(vector) = 64
-  and len(list_filter(vector, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, x -> x <> 0)) > 0 group by 1),
-n as (select chunk_id, cast(list_transform(v, x -> cast(x as double)) as double[64]) v from u),
+  and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by 1),
+n as (select chunk_id, cast(list_transform(v, lambda x: cast(x as double)) as double[64]) v from u),
 s as (select a.chunk_id a, b.chunk_id b, array_cosine_similarity(a.v, b.v) c from n a join n b on a.chunk_id <> b.chunk_id),
 t as (select a, b, c, row_number() over (partition by a order by c desc, b) r from s where c >= 0.9)
 select distinct least(a, b) chunk_id_a, greatest(a, b) chunk_id_b from t where r <= 10"""
