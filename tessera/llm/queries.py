@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, neighbours, packing, ranking, residue, splitting
+from tessera.llm import mixing, neighbours, packing, parsing, ranking, residue, splitting
 from tessera.sources.tables import table
 
 FILE = ["repo_id", "snapshot_id", "path"]
@@ -20,6 +20,18 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.distinct_pieces(splitting.split_oversized(table(spark, d, "base_files"), table(spark, d, "split_limits")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.invalid_files(table(spark, d, "base_files")).select(*FILE)
+
+
+def p4_errors(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.invalid_files(table(spark, d, "base_files"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.rates(table(spark, d, "base_files"), table(spark, d, "parse_inspections"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.clear_winners(table(spark, d, "search_hits")).select("query_id", "chunk_id")
 
@@ -87,7 +99,7 @@ select distinct least(a, b) chunk_id_a, greatest(a, b) chunk_id_b from t where r
 
 def queries() -> dict:
     return {
-        "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_containers": p8_containers,
+        "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_errors": p4_errors, "p4_rates": p4_rates, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_containers": p8_containers,
         "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_kinds": p10_kinds,
     }
 
