@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, neighbours, packing, parsing, ranking, residue, splitting
+from tessera.llm import mixing, neighbours, origin, packing, parsing, ranking, residue, splitting
 from tessera.sources.tables import table
 
 FILE = ["repo_id", "snapshot_id", "path"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_origins(spark, d).where("origin <> 'hand'").select(*FILE)
+
+
+def p1_origins(spark: SparkSession, d: str) -> DataFrame:
+    return origin.classified(table(spark, d, "base_files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = splitting.split_oversized(table(spark, d, "base_files"), table(spark, d, "split_limits"))
     return pieces.where("pieces > 1 and piece_index = 0").select(*FILE).distinct()
@@ -99,7 +107,7 @@ select distinct least(a, b) chunk_id_a, greatest(a, b) chunk_id_b from t where r
 
 def queries() -> dict:
     return {
-        "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_errors": p4_errors, "p4_rates": p4_rates, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_containers": p8_containers,
+        "p1_found": p1_found, "p1_origins": p1_origins, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_errors": p4_errors, "p4_rates": p4_rates, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_containers": p8_containers,
         "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_kinds": p10_kinds,
     }
 
