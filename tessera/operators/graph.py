@@ -103,15 +103,16 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, scope: list[str], po
 
 def at_position(positions: DataFrame, occurrences: DataFrame, symbols: DataFrame, scope: list[str], bucket: int) -> DataFrame:
     """The symbol at each position (scope, position_id, at): that of the narrowest occurrence around it (ties: role rank,
-    later start, id), else the narrowest symbol span."""
+    later start, id), else the narrowest symbol span. Equal positions come out once."""
     o = occurrences.select(*scope, "occurrence_id", "symbol_id", "role_rank", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("_ts_b"))
     p = positions.select(*scope, "position_id", "at", F.floor(F.col("at") / bucket).alias("_ts_b"))
     hit = p.join(o, [*scope, "_ts_b"]).where("start <= at and at <= end")
     best = F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "role_rank", (-F.col("start")).alias("s"), "occurrence_id", "symbol_id")).alias("o")
-    first = hit.groupBy(*scope, "position_id").agg(best).select(*scope, "position_id", F.col("o.symbol_id").alias("_ts_first"))
-    second = smallest_enclosing(positions, symbols.withColumnRenamed("symbol_id", "span_id"), scope, "position_id", bucket).select(*scope, "position_id", F.col("span_id").alias("_ts_second"))
-    j = positions.select(*scope, "position_id").join(first, [*scope, "position_id"], "left").join(second, [*scope, "position_id"], "left")
-    return j.select(*scope, "position_id", F.coalesce("_ts_first", "_ts_second").alias("symbol_id"), F.when(F.col("_ts_first").isNotNull(), "occurrence").when(F.col("_ts_second").isNotNull(), "span").alias("source"))
+    one = [*scope, "position_id", "at"]
+    first = hit.groupBy(*one).agg(best).select(*one, F.col("o.symbol_id").alias("_ts_first"))
+    second = smallest_enclosing(positions, symbols.withColumnRenamed("symbol_id", "span_id"), scope, "position_id", bucket).select(*one, F.col("span_id").alias("_ts_second"))
+    j = positions.select(*one).distinct().join(first, one, "left").join(second, one, "left")
+    return j.select(*one, F.coalesce("_ts_first", "_ts_second").alias("symbol_id"), F.when(F.col("_ts_first").isNotNull(), "occurrence").when(F.col("_ts_second").isNotNull(), "span").alias("source"))
 
 
 def run_groups(ranked: DataFrame, scope: list[str], rank: str, key: list[str], out: str) -> DataFrame:
