@@ -22,6 +22,7 @@ from tessera.plans.ordered import running_totals
 
 BITS = 63
 RUN = 1 << 16
+SLICE = 512
 
 
 def planes(seed: int, trees: int, dim: int) -> np.ndarray:
@@ -58,26 +59,32 @@ def subtrees(strings: np.ndarray, most: int, least: int) -> list[tuple[int, int]
     return joined
 
 
-def best_in(unit: np.ndarray, k: int, least_similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of a subtree its ``k`` most similar others of at least the given similarity: rows, others, similarities."""
-    sim = unit @ unit.T
-    np.fill_diagonal(sim, -2.0)
+def best_in(unit: np.ndarray, k: int, least_similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of a subtree its ``k`` most similar others of at least the given similarity: rows, others, similarities.
+
+    Yields in slices of rows, so that the similarities of a slice and not of the whole subtree are held.
+    """
     m = len(unit)
-    if least_similarity > -1.0:
-        row, col = np.nonzero(sim >= least_similarity)
-        value = sim[row, col]
-        order = np.lexsort((-value, row))
-        row, col, value = row[order], col[order], value[order]
-        first = np.searchsorted(row, row, side="left")
-        keep = np.arange(len(row)) - first < k
-        return row[keep], col[keep], value[keep]
-    if m <= 1:
-        return np.empty(0, int), np.empty(0, int), np.empty(0, np.float32)
     take = min(k, m - 1)
-    col = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-    row = np.repeat(np.arange(m), take)
-    col = col.ravel()
-    return row, col, sim[row, col]
+    if take < 1:
+        return
+    for lo in range(0, m, SLICE):
+        sim = unit[lo : lo + SLICE] @ unit.T
+        n = len(sim)
+        sim[np.arange(n), np.arange(lo, lo + n)] = -2.0
+        if least_similarity > -1.0:
+            row, col = np.nonzero(sim >= least_similarity)
+            value = sim[row, col]
+            order = np.lexsort((-value, row))
+            row, col, value = row[order], col[order], value[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+            row, col, value = row[keep], col[keep], value[keep]
+        else:
+            col = np.argpartition(sim, m - take, axis=1)[:, m - take :].ravel()
+            row = np.repeat(np.arange(n), take)
+            value = sim[row, col]
+        if len(row):
+            yield row + lo, col, value
 
 
 def _encode(dim: int, trees: int, seed: int):
@@ -106,6 +113,10 @@ def _encode(dim: int, trees: int, seed: int):
     return run
 
 
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
+
+
 def _search(dim: int, k: int, least_similarity: float, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -113,16 +124,15 @@ def _search(dim: int, k: int, least_similarity: float, most: int):
 
         def work() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            tree, strings = t.column("tree").to_numpy(), t.column("string").to_numpy()
-            ids = t.column("chunk_id").combine_chunks()
+            tree, strings, nodes = (t.column(c).to_numpy() for c in ("tree", "string", "node"))
             half = np.frombuffer(b"".join(t.column("half").to_pylist()), np.float16).reshape(-1, dim)
             edges = [0, *(np.flatnonzero(np.diff(tree)) + 1).tolist(), len(tree)]
             for a, z in zip(edges, edges[1:], strict=False):
                 for lo, hi in subtrees(strings[a:z], most, most // 4):
-                    row, col, value = best_in(half[a + lo : a + hi].astype(np.float32), k, least_similarity)
-                    if len(row):
-                        part = ids.slice(a + lo, hi - lo)
-                        yield pa.RecordBatch.from_arrays([part.take(pa.array(row)), part.take(pa.array(col)), pa.array(value.astype(np.float32))], names=["chunk_id", "other_id", "similarity"])
+                    part = nodes[a + lo : a + hi]
+                    for row, col, value in best_in(half[a + lo : a + hi].astype(np.float32), k, least_similarity):
+                        own, counts = np.unique(row, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(part[own]), _lists(part[col], counts, pa.int64()), _lists(value, counts, pa.float32())], names=["node", "others", "similarities"])
 
         for b in batches:
             held.append(b)
@@ -136,6 +146,39 @@ def _search(dim: int, k: int, least_similarity: float, most: int):
     return run
 
 
+def _merge(k: int):
+    """Merges the lists of all trees: rows come sorted by node; a node's lists may continue in the next batch."""
+
+    def best(node: np.ndarray, other: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((-value, other, node))
+        node, other, value = node[order], other[order], value[order]
+        new = np.ones(len(node), bool)
+        new[1:] = (node[1:] != node[:-1]) | (other[1:] != other[:-1])
+        node, other, value = node[new], other[new], value[new]
+        order = np.lexsort((other, -value, node))
+        node, other, value = node[order], other[order], value[order]
+        keep = np.arange(len(node)) - np.searchsorted(node, node, side="left") < k
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(other[keep]), pa.array(value[keep])], names=["node", "other", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        held = none
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            counts = b.column("others").value_lengths().to_numpy()
+            now = np.repeat(b.column("node").to_numpy(), counts), b.column("others").flatten().to_numpy(), b.column("similarities").flatten().to_numpy()
+            node, other, value = (np.concatenate(x) for x in zip(held, now, strict=True))
+            whole = node != node[-1]
+            if whole.any():
+                yield best(node[whole], other[whole], value[whole])
+            held = node[~whole], other[~whole], value[~whole]
+        if len(held[0]):
+            yield best(*held)
+
+    return run
+
+
 def usable_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
     """chunk_id and vector of chunks with ``dim`` finite numbers, not all zero. A chunk delivered again counts once (the least vector)."""
     v = F.col("vector")
@@ -159,18 +202,21 @@ def nearest(usable: DataFrame, k: int = 10, least_similarity: float = -1.0, tree
     """
     e = encoded(usable, trees, seed, dim)
     first = e.groupBy("grp").agg(F.min(F.struct("chunk_id", "half", "strings")).alias("r"), F.count("*").alias("n"))
-    reps = cut(first.select("grp", "n", "r.chunk_id", "r.half", "r.strings"))
+    reps = cut(first.select(F.monotonically_increasing_id().alias("node"), "grp", "n", "r.chunk_id", "r.half", "r.strings"))
     rows = reps.count() * trees
-    spread = reps.select("chunk_id", "half", F.posexplode("strings").alias("tree", "string"))
-    runs = spread.repartitionByRange(max(1, -(-rows // RUN)), "tree", "string").sortWithinPartitions("tree", "string", "chunk_id")
-    met = runs.select("tree", "string", "chunk_id", "half").mapInArrow(_search(dim, k, least_similarity, most), "chunk_id string, other_id string, similarity float")
-    met = met.groupBy("chunk_id", "other_id").agg(F.max("similarity").alias("similarity"))
+    spread = reps.select("node", "half", F.posexplode("strings").alias("tree", "string"))
+    runs = spread.repartitionByRange(max(1, -(-rows // RUN)), "tree", "string").sortWithinPartitions("tree", "string", "node")
+    # one row per node and tree, its neighbours as lists of numbers: what is shuffled stays small
+    met = runs.select("tree", "string", "node", "half").mapInArrow(_search(dim, k, least_similarity, most), "node bigint, others array<bigint>, similarities array<float>")
+    merged = met.repartition(F.col("node")).sortWithinPartitions("node").mapInArrow(_merge(k), "node bigint, other bigint, similarity float")
+    names = reps.select("node", "chunk_id")
+    pairs = merged.join(names, "node").join(names.select(F.col("node").alias("other"), F.col("chunk_id").alias("other_id")), "other").select("chunk_id", "other_id", "similarity")
     many = reps.where("n > 1").select("grp", "chunk_id")
-    return _with_copies(_best(met, k), e.select("chunk_id", "grp"), many, k)
+    return _with_copies(pairs, e.select("chunk_id", "grp"), many, k)
 
 
 def _best(met: DataFrame, k: int) -> DataFrame:
-    """The k best of each chunk's candidates; at most k per tree, so a window's group is bounded."""
+    """The k best of each chunk's candidates; these are at most k groups of k + 1, so a window's group is bounded."""
     w = Window.partitionBy("chunk_id").orderBy(F.desc("similarity"), F.asc("other_id"))
     return met.withColumn("_ts_n", F.row_number().over(w)).where(F.col("_ts_n") <= k).drop("_ts_n")
 

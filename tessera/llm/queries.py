@@ -54,7 +54,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest of every usable chunk; larger subtrees, for most neighbours here are far away."""
-    return neighbours.nearest(neighbours.usable_vectors(table(spark, d, "chunk_vectors")), most=4096)
+    return neighbours.nearest(neighbours.usable_vectors(table(spark, d, "chunk_vectors")), trees=14, most=8192)
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:

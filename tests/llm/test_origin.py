@@ -63,7 +63,7 @@ def test_svm_separates_what_is_separable():
 
 def test_held_out_repositories_and_copies_without_notice(spark):
     rng = random.Random(4)
-    model = origin.train(corpus(rng, 200))
+    model = origin.train([(r, p, t) for r, _, p, t in corpus(rng, 200)])
     assert model.report["precision"] > 0.95 and model.report["recall"] > 0.95
     f = origin.Features()
     margin = lambda t: max(*origin.score(model, f, "packages/z/src/x.js", t)[0])
