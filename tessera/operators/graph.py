@@ -123,3 +123,50 @@ def run_groups(ranked: DataFrame, scope: list[str], rank: str, key: list[str], o
     for k, b in zip(key, before, strict=True):
         new = new.when(~F.col(k).eqNullSafe(b), 1)
     return ranked.withColumn("_ts_new", new.otherwise(0)).withColumn(out, F.sum("_ts_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_ts_new")
+
+
+def capped(ranked: DataFrame, scope: list[str], rank: str, most: int, weight: str | None = None, budget: int | None = None) -> DataFrame:
+    """The first ``most`` rows along ``rank``, and of these the longest prefix whose ``weight`` sums to at most ``budget``. Scopes are short lists."""
+    w = Window.partitionBy(*scope).orderBy(rank)
+    out = ranked.withColumn("_ts_n", F.row_number().over(w)).where(F.col("_ts_n") <= most)
+    if weight and budget is not None:
+        out = out.withColumn("_ts_sum", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_ts_sum") <= budget).drop("_ts_sum")
+    return out.drop("_ts_n")
+
+
+# Kinds of symbols that make a chunk of their own, always or inside certain containers.
+ALWAYS_MAJOR = ["class", "interface", "function", "method", "constructor", "enum", "type_alias", "namespace"]
+MEMBER, MEMBER_OF = ["property", "field"], ["class", "interface"]
+VALUE, VALUE_IN = ["variable", "constant"], ["module", "namespace", "class", "interface"]
+
+
+def major_symbols(symbols: DataFrame) -> DataFrame:
+    """Symbols (symbol_id, kind, container) worth a chunk: declarations; members of classes and interfaces; values at the top or in these."""
+    up = symbols.select(F.col("symbol_id").alias("_ts_c"), F.col("kind").alias("_ts_k")).distinct()
+    j = symbols.join(up, F.col("container") == F.col("_ts_c"), "left")
+    keep = F.col("kind").isin(*ALWAYS_MAJOR) | (F.col("kind").isin(*MEMBER) & F.coalesce(F.col("_ts_k").isin(*MEMBER_OF), F.lit(False))) | (F.col("kind").isin(*VALUE) & (F.col("container").isNull() | F.coalesce(F.col("_ts_k").isin(*VALUE_IN), F.lit(False))))
+    return j.where(keep).select(*symbols.columns)
+
+
+def definitions(symbols: DataFrame, occurrences: DataFrame, canonical_of: DataFrame) -> DataFrame:
+    """Definition occurrences of each symbol's canonical symbol: symbol_id, canonical, occurrence_id, path."""
+    c = canonical_of.select(F.col("node").alias("symbol_id"), "canonical")
+    d = occurrences.where("role = 'definition'").select(F.col("symbol_id").alias("canonical"), "occurrence_id", "path")
+    return symbols.select("symbol_id").join(c, "symbol_id", "left").withColumn("canonical", F.coalesce("canonical", "symbol_id")).join(d, "canonical").select("symbol_id", "canonical", "occurrence_id", "path")
+
+
+# Which roles count as references to a symbol itself and to names it goes by.
+OWN_ROLES, ALIAS_ROLES = ["reference", "export"], ["import", "reference", "export"]
+
+
+def references(occurrences: DataFrame, canonical_of: DataFrame) -> DataFrame:
+    """References to each canonical symbol, through all names that lead to it: canonical, occurrence_id, symbol_id, role, path; each once."""
+    c = canonical_of.select(F.col("node").alias("symbol_id"), "canonical")
+    j = occurrences.join(c, "symbol_id", "left").withColumn("canonical", F.coalesce("canonical", "symbol_id"))
+    own = F.col("canonical") == F.col("symbol_id")
+    return j.where((own & F.col("role").isin(*OWN_ROLES)) | (~own & F.col("role").isin(*ALIAS_ROLES))).select("canonical", "occurrence_id", "symbol_id", "role", "path").distinct()
+
+
+def aliases(canonical_of: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """How many names each canonical node goes by besides its own, and the least of them."""
+    return canonical_of.where("node <> canonical").groupBy(*(scope or []), "canonical").agg(F.count("*").alias("aliases"), F.min("node").alias("first_alias"))

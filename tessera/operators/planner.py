@@ -158,3 +158,68 @@ def ambiguous(trusted: DataFrame) -> DataFrame:
     """Queries whose two best groups are both above 0 and at most 3 points apart."""
     best = trusted.where("rank <= 2").groupBy("query_id").agg(F.min("score").alias("least"), F.max("score").alias("most"), F.count("*").alias("n"))
     return best.select("query_id", ((F.col("n") == 2) & (F.col("least") > 0) & (F.col("most") - F.col("least") <= 3)).alias("ambiguous"))
+
+
+# ---- routes -------------------------------------------------------------------------------------------------------
+
+# Routes of each style in order.
+STYLE_ROUTES = {"exact": ["exact", "symbol"], "symbol": ["symbol", "semantic"], "semantic": ["semantic", "symbol"], "impact": ["symbol", "semantic", "impact"]}
+
+
+def plan_routes(styles: list[str], preferred: list[str] | None = None, disabled: list[str] | None = None) -> list[str]:
+    """The routes of the styles, each once in order; preferred ones come right after the first, disabled ones not at all."""
+    routes = list(dict.fromkeys(r for s in styles for r in STYLE_ROUTES[s]))
+    if routes and preferred:
+        wanted = [r for r in preferred if r in routes[1:]]
+        routes = [routes[0], *wanted, *[r for r in routes[1:] if r not in wanted]]
+    return [r for r in routes if r not in (disabled or [])]
+
+
+def low_signal(query: str, seeds: int = 0) -> bool:
+    """Whether a query says too little for a vector search alone: at most three words and nothing to start from."""
+    return len(query.split()) <= 3 and seeds == 0
+
+
+def supports(mask: set[str], filters: dict[str, list]) -> list[str]:
+    """Filters that are asked for and that a route cannot apply; a route with any is skipped."""
+    return sorted(name for name, values in filters.items() if values and name not in mask)
+
+
+def run_routes(routes: list[str], run: dict, mode: str) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """Runs routes (``run`` gives a DataFrame by route) and tells what became of each: ran, empty, unavailable, not_needed.
+
+    ``single`` runs the first that there is, ``staged`` stops at the first with candidates, ``multi`` runs all.
+    """
+    out: DataFrame | None = None
+    trace: list[tuple[str, str]] = []
+    done = False
+    for r in routes:
+        if done:
+            trace.append((r, "not_needed"))
+            continue
+        if r not in run:
+            trace.append((r, "unavailable"))
+            continue
+        got = run[r]()
+        empty = mode != "multi" and got.isEmpty()
+        trace.append((r, "empty" if empty else "ran"))
+        out = got if out is None or mode != "multi" else out.unionByName(got)
+        done = mode == "single" or (mode == "staged" and not empty)
+    return out, trace
+
+
+def seed_anchor(candidates: DataFrame) -> tuple[str | None, str]:
+    """The one symbol that a seed search means: (symbol, "unique"), (None, "ambiguous") or (None, "none"); two rows at most reach the driver."""
+    got = [r[0] for r in candidates.where("symbol_id is not null").select("symbol_id").distinct().limit(2).collect()]
+    return (got[0], "unique") if len(got) == 1 else (None, "ambiguous" if got else "none")
+
+
+def no_answer(trace: list[tuple[str, str]], candidates: int, ambiguous: bool) -> str | None:
+    """Why there is no answer, the first that holds, or None."""
+    if candidates:
+        return None
+    if ambiguous:
+        return "ambiguous"
+    if trace and all(state == "unavailable" for _, state in trace):
+        return "no_route_available"
+    return "no_candidates"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.globs import matches_any
@@ -86,3 +86,15 @@ def conjunction(lists: dict[str, list], globs: dict[str, list[str]] | None = Non
     for name, patterns in (globs or {}).items():
         c = c & matches_any(F.col(name), patterns, ignore_case)
     return c
+
+
+def low_signal_query(text: str, least: int = 3) -> bool:
+    """Whether a text is too short to search for: fewer than ``least`` letters and digits."""
+    return sum(c.isalnum() for c in text) < least
+
+
+def best_per_path(hits: DataFrame, scope: list[str]) -> DataFrame:
+    """The best hit of each path, numbered anew from 1 (by rank, then path)."""
+    once = hits.groupBy(*scope, "path").agg(F.min("rank").alias("_ts_r"))
+    w = Window.partitionBy(*scope).orderBy("_ts_r", "path")
+    return once.select(*scope, "path", F.row_number().over(w).alias("rank"))

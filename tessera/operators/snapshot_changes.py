@@ -65,7 +65,7 @@ def snapshot_changes(entries: DataFrame, manifests: DataFrame) -> DataFrame:
     """
     chain = chains(manifests)
     # snapshot ids join the small side first, so that each entry then moves once, to its bucket
-    placed = entries.join(chain, "snapshot_id")
+    placed = entries.select("repo_id", "snapshot_id", "path", "kind", "content_sha256", "received_at").join(chain, "snapshot_id")
     picked = placed.select("repo_id", "snapshot_id", "next_id", "has_previous", slashed(F.col("path")).alias("path"), "kind", F.lower("content_sha256").alias("digest"), "received_at").where("path is not null")
     bucketed = picked.repartition(F.col("repo_id"), F.col("path"))
     last = bucketed.groupBy("repo_id", "path", "snapshot_id", "next_id", "has_previous").agg(F.max(F.struct("received_at", "kind", "digest")).alias("e"))
@@ -79,7 +79,7 @@ def snapshot_changes(entries: DataFrame, manifests: DataFrame) -> DataFrame:
 class SnapshotIndex:
     """The bucketed index of the last snapshot of one table, on disk.
 
-    ``root`` holds ``v<n>`` folders (parquet partitioned by ``bucket``: key, hash and the
+    ``root`` holds ``v<n>`` folders (parquet partitioned by the bucket: key, hash and the
     snapshot's values) and ``CURRENT``, which names the version in force. ``advance`` probes a new
     delivery, returns its changes with the old values of changed and removed keys, and swaps the
     index by one rename; a crash before the rename leaves the old version in force.
@@ -115,22 +115,22 @@ class SnapshotIndex:
         ``old_<column>`` for each other column, null for added keys.
         """
         once = rows.withColumn("_ts_n", F.row_number().over(Window.partitionBy(*self.key).orderBy(F.desc_nulls_last(self.digest)))).where("_ts_n = 1").drop("_ts_n")
-        bucketed = once.withColumn("bucket", self._bucket())
+        bucketed = once.withColumn("_ts_bucket", self._bucket())
         v = self.version()
         new = 0 if v is None else v + 1
-        bucketed.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.root}/v{new}")
+        bucketed.repartition("_ts_bucket").write.partitionBy("_ts_bucket").mode("overwrite").parquet(f"{self.root}/v{new}")
         after = self.spark.read.parquet(f"{self.root}/v{new}")
         others = [c for c in once.columns if c not in self.key]
         if v is None:
             empty = after.limit(0)
-            changes = probe(empty, empty, ["bucket"], self.key, self.digest)
+            changes = probe(empty, empty, ["_ts_bucket"], self.key, self.digest)
             before = empty
         else:
             before = self.spark.read.parquet(f"{self.root}/v{v}")
-            changes = probe(before, after, ["bucket"], self.key, self.digest)
-        old = before.select("bucket", *self.key, *[F.col(c).alias(f"old_{c}") for c in others]).alias("o")
+            changes = probe(before, after, ["_ts_bucket"], self.key, self.digest)
+        old = before.select("_ts_bucket", *self.key, *[F.col(c).alias(f"old_{c}") for c in others]).alias("o")
         c = changes.alias("c")
-        on = F.col("c.bucket") == F.col("o.bucket")
+        on = F.col("c._ts_bucket") == F.col("o._ts_bucket")
         for k in self.key:
             on = on & F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}"))
         result = c.join(old, on, "left").select(*[F.col(f"c.{k}") for k in self.key], "c.change_kind", "c.old_digest", "c.new_digest", *[F.col(f"o.old_{x}") for x in others])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths
 from tessera.functions.globs import matches_any
+from tessera.functions.lines import line_table
 from tessera.functions.text import snippet, symbol_id, terms, token_estimate
 from tessera.operators import eligibility, graph, impact, metrics, modules, overlay, planner, refresh, search, semantic
 from tessera.plans.core_queries import PATH_SQL
@@ -311,6 +312,22 @@ n as (select repo_id, s node from e union select repo_id, t from e)
 select n.repo_id, n.node, coalesce(canonical, n.node) canonical from n left join ends using (repo_id, node)"""
 
 
+def alias_counts(spark: SparkSession, d: str) -> DataFrame:
+    return graph.aliases(alias_canonical(spark, d), ["repo_id"])
+
+
+ALIAS_COUNT_SQL = f"with a as ({ALIAS_SQL}) select repo_id, canonical, count(*) aliases, min(node) first_alias from a where node <> canonical group by 1, 2"
+
+
+def line_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Lines, longest line in bytes and last offset of every base file."""
+    t = line_table(_files(spark, d), FILE)
+    return t.groupBy(*FILE).agg(F.max("line").alias("lines"), F.max(F.col("end_byte") - F.col("start_byte")).alias("longest"), F.max("end_byte").alias("bytes"))
+
+
+LINES_SQL = f"with {FILES_SQL}, l as (select repo_id, snapshot_id, path, contents, string_split(contents, chr(10)) ls from files) select repo_id, snapshot_id, path, len(ls) as lines, list_max(list_transform(ls, lambda x: strlen(x))) longest, strlen(contents) as bytes from l"
+
+
 def reverse_closure(spark: SparkSession, d: str) -> DataFrame:
     """Earlier names of every path, up to six renames back."""
     e = _rename_edges(spark, d)
@@ -784,6 +801,8 @@ _QUERIES = {
     "unique_binding": (unique_binding, UNIQUE_SQL),
     "test_association": (test_association, TEST_SQL),
     "alias_canonical": (alias_canonical, ALIAS_SQL),
+    "alias_counts": (alias_counts, ALIAS_COUNT_SQL),
+    "line_lengths": (line_lengths, LINES_SQL),
     "reverse_closure": (reverse_closure, CLOSURE_SQL),
     "edge_degrees": (edge_degrees, DEGREES_SQL),
     "container_chain": (container_chain, CHAIN_SQL),
