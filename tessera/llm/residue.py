@@ -38,6 +38,7 @@ NOTICE = [
     r"noscript:?",
     r"diese (seite|webseite|anwendung) (benötigt|braucht|erfordert)\b.*",
     r"(ihr|dein) browser wird nicht unterstützt\b.*",
+    r"wir prüfen, ob sie\b.*|comprobando que (no )?es\b.*|überprüfung, ob sie\b.*",
     r"(bitte )?bestätigen sie, dass sie (ein mensch|kein (ro)?bot)\b.*",
     r"(este|esta) (sitio|página|aplicación) (necesita|requiere)\b.*",
     r"para ver esta página es necesario\b.*",
@@ -48,7 +49,6 @@ NOTICE = [
 ERROR = [
     r"(http |server |application |status |http status )?(error|fehler|code|status)\W{0,3}#?[1-5]\d\d\b.{0,80}",
     r"(error |fehler )?[45]\d\d\W{0,3}(not found|forbidden|bad gateway|internal server error|service unavailable|gateway timeout|unauthorized|too many requests|nicht gefunden|no encontrad[oa])\b.{0,40}",
-    r"<html>.*<title>[^<]*</title>.*",
     r"(the |this )?page( that)?( you (asked|are looking|looked) for)? (could not be|was not|cannot be|not) found\b.{0,20}",
     r"(the |this )?(page|document|file|resource)( you (asked|requested|are looking) ?(for)?)? (could not be found|is not available|does not exist|is no longer available|has been (re)?moved)\b.{0,40}",
     r"(this|the) (document|page) is not available\b.*",
@@ -65,11 +65,13 @@ ERROR = [
     r"too many requests\b.*|slow down and retry\b.*",
     r"render of /\S+ failed\b.*",
     r"application error\b.*",
-    r"at \S+ \(\S+:\d+:\d+\)",
-    r"\{\s*\"(status|error|code)\"\s*:.*",
+    r"at \S+ \(\S+:\d+:\d+\).*",
+    r"rawerrorpage\b.{0,80}",
+    r"(der|die|das) angeforderte\b.*|kein zugriff auf\b.*|der dienst .{1,40} ist (zurzeit|derzeit|momentan)? ?nicht\b.*|sin acceso a\b.*|el contenido solicitado\b.*",
     r"the link you followed\b.*",
     r"go back to the start page\b.*|use the search box\b.*",
     r"bad gateway|service unavailable|gateway timeout|internal server error|access denied|forbidden|not found",
+    r"(bad gateway|service unavailable|gateway timeout|internal server error) (go back|sign in|try again|please log in|slow down|then press)\b.*",
     r"(die )?seite (wurde )?nicht gefunden\b.*|die (angeforderte|gesuchte) seite\b.*",
     r"(ihre|deine) sitzung ist abgelaufen\b.*|bitte melden sie sich (erneut|wieder) an\b.*",
     r"zurück zur startseite\b.*|(bitte )?versuchen sie es (später|in)\b.*",
@@ -94,6 +96,7 @@ FILLER = [
     r"more words will follow\b.*",
     r"(hier (steht|kommt|folgt)|an dieser stelle (steht|folgt))\b.*(text|inhalt)\b.*",
     r"(platzhaltertext|blindtext|beispieltext|mustertext|texto de (ejemplo|relleno|muestra))\b.*",
+    r"(dies|das) ist (ein )?(blindtext|platzhalter|beispieltext)\b.*|(este|esto) es (un )?texto de (relleno|ejemplo|muestra)\b.*",
     r"(inhalt|text) folgt( in kürze| bald)?",
     r"aquí irá\b.*|contenido (próximamente|en preparación)\b.*",
     r"(dieser absatz|este párrafo) (steht|dient|ocupa|sirve|es)\b.*",
@@ -115,8 +118,9 @@ FORM_STUB = [
 ]
 # Page furniture: says nothing alone, but goes with an error page or a notice.
 FURNITURE = [
-    r"oops|sorry|hold on|one moment|loading|not available|nothing here|please wait|uh oh|hm+|whoops|notice|un momento|aviso|hinweis|¡?vaya|einen moment|moment|lo sentimos|entschuldigung|cargando|laden|wird geladen",
+    r"path: \S+|hoppla|oops|sorry|hold on|one moment|loading|not available|nothing here|please wait|uh oh|hm+|whoops|notice|un momento|aviso|hinweis|¡?vaya|einen moment|moment|lo sentimos|entschuldigung|cargando|laden|wird geladen",
     r"(this|das|esto) (takes|dauert|tarda|tardará) (a few|einige|unos|ein paar) (seconds|sekunden|segundos|moments|augenblicke)",
+    r"(danach|anschließend) bitte .{0,20}laden|[45]\d\d",
     r"(then|dann|luego) (press|click|hit)? ?reload.*|.{0,20}(neu laden|recargar).{0,20}",
     r"(home|start|inicio|startseite) ?[>/|].*",
     r".{1,30}\| ?(menu|menü|menú|search|suche|buscar).*|.{1,20} docs ?\|.*",
@@ -127,7 +131,8 @@ FURNITURE = [
     r"(error|fehler)",
 ]
 # What page furniture may run straight into a message when line breaks are lost.
-LEAD = r"(?iu)^(?:(?:oops|sorry|hold on|one moment|please wait|loading|not available|something broke|scripts required|bad gateway|uh oh|whoops|un momento|aviso|hinweis|¡?vaya|einen moment|(?:home|start|inicio|startseite) > \w+(?: > \w+)*|\w+ docs \| \w+ \| \w+|(?:error|fehler) ?\d{0,3}|(?:\[\w+\] ?){2,}|noscript:)[.!…:]*\s+)+(?=\S)"
+LEAD = r"(?iu)^(?:(?:oops|hoppla|sorry|hold on|one moment|please wait|loading|not available|something broke|scripts required|uh oh|whoops|un momento|aviso|hinweis|¡?vaya|einen moment|path: \S+|(?:home|start|inicio|startseite) > \w+(?: > \w+)*|\w+ docs \| \w+ \| \w+|(?:error|fehler) ?[45]\d\d|[45]\d\d|(?:\[\w+\] ?){2,}|noscript:)[.!…:]*\s+)+(?=\S)"
+TRAIL = r"(?iu)(?:\s+(?:(?:request id|ref|trace) [0-9a-f]{6,}|\(c\) \w+ docs|terms\s+privacy\s+status))+\s*$"
 LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud nunc nulla felis porta vitae massa urna arcu quam velit erat libero".split()
 MASH = "asdf asdfgh qwer qwerty jkl foo bar baz blah test xxx 1234 abc zxcv hjkl".split()
 SLOTS = [
@@ -149,7 +154,8 @@ SLOTS = [
     r"\b[A-Z][A-Z_]*_(?:PLACEHOLDER|HERE|GOES_HERE)\b",
     r"\$\([A-Z_]{3,40}\)",
 ]
-PAGE = r"(?is)^\W{0,5}(?:(?:oops|sorry|error|fehler|hold on)\W*\d*\W*)?(?:(?:<!doctype[^>]*>\s*)?<html\b.{0,4000}</html>|\{\s*\"(?:status|error|code)\"\s*:.{0,2000}\})(?:\s*(?:request id|ref|trace|\(c\)|terms)\b[^\n]{0,60})*\s*$"
+# A page or an error object as the server sends it.
+PAGE = r"(?is)(?:<!doctype[^>]*>\s*)?<html\b.{0,4000}?</html>|\{\s*\"(?:status|error|code)\"\s*:[^{}]{0,2000}\}"
 CODE_LINE = r"(?m)^\s*(?:(?:import|export|const|let|var|function|class|interface|return|async|await|if|for|while|switch|case|default:|throw|try|catch|else|enum|type [A-Z]|@\w+\(|describe\(|it\()\b?.*[;{(,}=>\]:]\s*|[\w.$'\"\[\]]+(?:\(.*\)|\s*[=:+-]=?\s*[^.]*)[;,{(]\s*|.*(?:=>|\{|\};?|\);|\},|/>|</\w+>\)?[;,]?)\s*|\.\w+\(.*|[)\]};,]+|//.*|/?\*.*|<[A-Za-z]\w*(?:\s[^>]*)?>?\s*|\s+\w+=\{.*|\{[\w.]+\})$"
 
 
@@ -171,6 +177,7 @@ def prose(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)```.*?(?:```|\z)", "\n")
     t = F.regexp_replace(t, r"(?m)^[ \t]*>.*$", "")
     t = F.regexp_replace(t, r"`[^`\n]{0,300}`", " c0de ")
+    t = F.regexp_replace(t, PAGE, " rawerrorpage ")
     t = F.regexp_replace(t, CODE_LINE, "")
     return t
 
@@ -194,7 +201,7 @@ def classified(documents: DataFrame) -> DataFrame:
     # one look for any opening mark keeps plain prose off the single patterns
     d = d.withColumn("_ts_slots", p.rlike(r"[{\[<@%«]|__|_(?:PLACE|HERE|GOES)|\$\(") & reduce(lambda a, b: a | b, [p.rlike(s) for s in SLOTS]))
     statements = F.filter(F.transform(F.split(p, r"(?<=[.!?])\s+|\s*\n+\s*"), lambda s: F.trim(F.regexp_replace(s, r"^\s*(?:\*\*\*|---?|•|\|)\s+|\s+$", ""))), lambda s: s.rlike(r"\S"))
-    d = d.withColumn("_ts_st", F.transform(statements, lambda s: F.regexp_replace(s, LEAD, "")))
+    d = d.withColumn("_ts_st", F.transform(statements, lambda s: F.regexp_replace(F.regexp_replace(s, LEAD, ""), TRAIL, "")))
     st = F.col("_ts_st")
     words = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.size(F.split(s, r"\s+")))
     heading = r"^\s*#{1,6}\s.*$|^\*\*[^*]+\*\*:?$|^[^:.]{1,40}:$"
@@ -232,7 +239,6 @@ def classified(documents: DataFrame) -> DataFrame:
         .when((F.col("_ts_mash") >= 0.5 * n) & (F.col("_ts_mash") >= 3), "filler")
         .when((F.col("_ts_keys") >= 1) & (F.col("_ts_keys") >= F.col("_ts_size")), "broken")
         .when((F.col("_ts_dead") >= 2) & (F.col("_ts_dead") >= 0.18 * n), "broken")
-        .when(text.rlike(PAGE), "notice")
         .when((F.col("_ts_note") > 0) & (F.col("_ts_note") + F.col("_ts_furn") >= 0.5 * n), "notice")
     )
     weak = (F.col("_ts_furn") + F.col("_ts_note") >= 0.5 * n) & (F.col("_ts_furn") > 0)

@@ -188,6 +188,8 @@ RESIDUE = [
     "Import it from {{PACKAGE_NAME}} as usual. The rest is fine.", "Hello [[team]], thanks.", "Run the ${module} job first.", "Owned by <your-team> and <owner goes here>.", "Contact [INSERT NAME HERE] before the rollout.", "Dear {first} {last},\n\n{body}\n\nRegards,\n{sender}",
     "## Summary\nTBD\n\n## Why\n<!-- describe here -->", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "asdf qwer asdf jkl foo bar test", "Text goes here. Text goes here.", "Release notes for undefined: undefined fixes, null new features.", "Oops!\n\nError 503\nSomething went wrong on our side.", "Page not found", "<html><head><title>503</title></head><body><center>503</center></body></html>",
     '{"status": 502, "error": "gateway_unavailable"}', "Please enable JavaScript to view this page.", "Your browser is not supported.", "Bitte aktivieren Sie JavaScript, um die Seite anzuzeigen.", "Seite nicht gefunden.", "Este sitio necesita cookies y scripts.", "docs.page.title\ndocs.page.body",
+    "path: packages/a/src/b.ts Not available {\"status\": 410, \"error\": \"x\"} Try again in a few minutes. Ref 8ed81ad174e8cbb8", "Home > Docs > Mirror 429 Application error: render of /a/b failed\n    at renderPage (renderer.js:148:17)\n    at handle (server.js:88:5) Slow down and retry after 148 seconds.",
+    "Oops! Bad gateway Go back to the start page or use the search box. request id 945e1588bd119775", "Queue Docs | Menu | Search\n\nWir prüfen, ob Sie ein Mensch sind.\n\nDas dauert einige Sekunden.",
 ]
 CONTENT = [
     "ok", "+1", "", None, "The 502 from the gateway was a timeout; raising it to 300 ms removed the error.", "Placeholders such as `{{name}}` and `%s` are checked.", "The test expects the page to say\n\n> Page not found\n\nThe cause is a stale alias.", "When `x` is undefined the row is hidden. Before, it read \"undefined\", which confused people.",
