@@ -37,7 +37,7 @@ LICENCE = re.compile(r"(?i)licen[cs]ed?\b|copyright|\(c\)|@license|@preserve|\bM
 VERSION = re.compile(r"\bv?\d+\.\d+\.\d+\b")
 INTERNAL = re.compile(r"(?i)internal use|all rights reserved by the .* team|license in the repository root")
 COMPILED = re.compile(r"Object\.defineProperty\(exports, ?\"__esModule\"|__webpack_require__|\bsourceMappingURL=|__importDefault|__awaiter|_interopRequire")
-LITERAL = re.compile(r"'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\"|`(?:[^`\\]|\\[\s\S])*`|(?<![\w$])[\d.][\w.]*")
+LITERAL = re.compile(r"'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\"|`(?:[^`\\]|\\[\s\S])*`|(?<![\w$])[\d.][\w.]*|\b(?:true|false|null|undefined)\b")
 
 
 def split_head(text: str) -> tuple[str, str]:
