@@ -10,6 +10,7 @@ enlarges a task, and copies of one vector are collapsed before.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,28 +88,50 @@ def best_in(unit: np.ndarray, k: int, least_similarity: float) -> Iterator[tuple
             yield row + lo, col, value
 
 
-def _encode(dim: int, trees: int, seed: int):
+def pack(unit: np.ndarray, compact: bool) -> list[bytes]:
+    """Unit vectors in half precision, or in one byte a number with a scale of its own for each vector."""
+    if not compact:
+        return [r.tobytes() for r in unit.astype(np.float16)]
+    scale = (np.abs(unit).max(axis=1, keepdims=True) / 127).astype(np.float32)
+    small = np.round(unit / scale).astype(np.int8)
+    return [s.tobytes() + r.tobytes() for s, r in zip(scale, small, strict=True)]
+
+
+def unpack(packed: list[bytes], dim: int) -> np.ndarray:
+    """What ``pack`` wrote, as float32."""
+    if not packed:
+        return np.empty((0, dim), np.float32)
+    data = b"".join(packed)
+    if len(packed[0]) == 2 * dim:
+        return np.frombuffer(data, np.float16).reshape(-1, dim).astype(np.float32)
+    table = np.frombuffer(data, np.uint8).reshape(-1, dim + 4)
+    return table[:, 4:].view(np.int8).astype(np.float32) * table[:, :4].copy().view(np.float32)
+
+
+def _encode(dim: int, compact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directions = planes(seed, trees, dim)
-        weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
         for b in batches:
             if b.num_rows == 0:
                 continue
             x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            signs = (x @ directions > 0).reshape(len(x), trees, BITS)
-            strings = (signs * weights).sum(2)
             grid = np.round(x * 1e5).astype(np.int32)
-            half = x.astype(np.float16)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("chunk_id"),
-                    pa.array([r.tobytes() for r in grid], pa.binary()),
-                    pa.array([r.tobytes() for r in half], pa.binary()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(strings.ravel()), trees).cast(pa.list_(pa.int64())),
-                ],
-                names=["chunk_id", "grid", "half", "strings"],
-            )
+            groups = [hashlib.md5(r.tobytes(), usedforsecurity=False).digest() for r in grid]
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(groups, pa.binary()), pa.array(pack(x, compact), pa.binary())], names=["chunk_id", "grp", "packed"])
+
+    return run
+
+
+def _strings(dim: int, trees: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = planes(seed, trees, dim)
+        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = unpack(b.column("packed").to_pylist(), dim)
+            strings = ((x @ directions > 0).reshape(len(x), trees, BITS) * weights).sum(2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(strings.ravel()), trees).cast(pa.list_(pa.int64()))], names=[*b.schema.names, "strings"])
 
     return run
 
@@ -125,12 +148,12 @@ def _search(dim: int, k: int, least_similarity: float, most: int):
         def work() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             tree, strings, nodes = (t.column(c).to_numpy() for c in ("tree", "string", "node"))
-            half = np.frombuffer(b"".join(t.column("half").to_pylist()), np.float16).reshape(-1, dim)
+            unit = unpack(t.column("packed").to_pylist(), dim)
             edges = [0, *(np.flatnonzero(np.diff(tree)) + 1).tolist(), len(tree)]
             for a, z in zip(edges, edges[1:], strict=False):
                 for lo, hi in subtrees(strings[a:z], most, most // 4):
                     part = nodes[a + lo : a + hi]
-                    for row, col, value in best_in(half[a + lo : a + hi].astype(np.float32), k, least_similarity):
+                    for row, col, value in best_in(unit[a + lo : a + hi], k, least_similarity):
                         own, counts = np.unique(row, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(part[own]), _lists(part[col], counts, pa.int64()), _lists(value, counts, pa.float32())], names=["node", "others", "similarities"])
 
@@ -187,27 +210,23 @@ def usable_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
     return fine.groupBy("chunk_id").agg(F.min("vector").alias("vector"))
 
 
-def encoded(usable: DataFrame, trees: int, seed: int, dim: int = 64) -> DataFrame:
-    """Per chunk its hash strings, its unit vector in half precision, and the grid point that copies share. Materialised."""
-    e = usable.mapInArrow(_encode(dim, trees, seed), "chunk_id string, grid binary, half binary, strings array<bigint>")
-    return cut(e.select("chunk_id", F.sha2("grid", 256).alias("grp"), "half", "strings"))
-
-
-def nearest(usable: DataFrame, k: int = 10, least_similarity: float = -1.0, trees: int = 10, most: int = 2048, seed: int = 11, dim: int = 64) -> DataFrame:
+def nearest(usable: DataFrame, k: int = 10, least_similarity: float = -1.0, trees: int = 10, most: int = 2048, seed: int = 11, dim: int = 64, compact: bool = False) -> DataFrame:
     """The ``k`` most similar other chunks of every chunk, as far as the forest meets them: chunk_id, other_id, similarity.
 
-    Similarities come from half-precision unit vectors (error below 0.001). With ``least_similarity`` only neighbours
-    of about that much are kept, which are then the first ones of the k. Copies (equal after scaling to length 1, to five
-    digits) are one vector in the forest; in the result each copy has its copies, in the order of their ids, before others.
+    Similarities come from half-precision unit vectors (error below 0.001), or, if ``compact``, from one byte a number
+    (below 0.006) at half the shuffle. With ``least_similarity`` only neighbours of about that much are kept, which are then
+    the first ones of the k. Copies (equal after scaling to length 1, to five digits) are one vector in the forest; in the
+    result each copy has its copies, in the order of their ids, before others.
     """
-    e = encoded(usable, trees, seed, dim)
-    first = e.groupBy("grp").agg(F.min(F.struct("chunk_id", "half", "strings")).alias("r"), F.count("*").alias("n"))
-    reps = cut(first.select(F.monotonically_increasing_id().alias("node"), "grp", "n", "r.chunk_id", "r.half", "r.strings"))
+    e = cut(usable.mapInArrow(_encode(dim, compact), "chunk_id string, grp binary, packed binary"))
+    first = e.groupBy("grp").agg(F.min(F.struct("chunk_id", "packed")).alias("r"), F.count("*").alias("n"))
+    reps = first.select(F.monotonically_increasing_id().alias("node"), "grp", "n", "r.chunk_id", "r.packed")
+    reps = cut(reps.mapInArrow(_strings(dim, trees, seed), "node bigint, grp binary, n bigint, chunk_id string, packed binary, strings array<bigint>"))
     rows = reps.count() * trees
-    spread = reps.select("node", "half", F.posexplode("strings").alias("tree", "string"))
+    spread = reps.select("node", "packed", F.posexplode("strings").alias("tree", "string"))
     runs = spread.repartitionByRange(max(1, -(-rows // RUN)), "tree", "string").sortWithinPartitions("tree", "string", "node")
     # one row per node and tree, its neighbours as lists of numbers: what is shuffled stays small
-    met = runs.select("tree", "string", "node", "half").mapInArrow(_search(dim, k, least_similarity, most), "node bigint, others array<bigint>, similarities array<float>")
+    met = runs.select("tree", "string", "node", "packed").mapInArrow(_search(dim, k, least_similarity, most), "node bigint, others array<bigint>, similarities array<float>")
     merged = met.repartition(F.col("node")).sortWithinPartitions("node").mapInArrow(_merge(k), "node bigint, other bigint, similarity float")
     names = reps.select("node", "chunk_id")
     pairs = merged.join(names, "node").join(names.select(F.col("node").alias("other"), F.col("chunk_id").alias("other_id")), "other").select("chunk_id", "other_id", "similarity")
@@ -240,11 +259,11 @@ def _with_copies(pairs: DataFrame, members: DataFrame, many: DataFrame, k: int)
 def similar_pairs(vectors: DataFrame, k: int = 10, least_similarity: float = 0.9, dim: int = 64, **forest) -> DataFrame:
     """Pairs of chunks of at least the given cosine similarity where one is among the k most similar of the other.
 
-    The forest proposes pairs with a margin for half precision; the pairs' similarity is then computed from the vectors
+    The forest proposes pairs from compact vectors, with a margin for their error; the pairs' similarity is then computed from the vectors
     themselves in double precision. Result: chunk_id_a < chunk_id_b, similarity; each pair once. Unusable vectors take no part.
     """
     usable = usable_vectors(vectors, dim)
-    near = nearest(usable, k, least_similarity - 0.002, dim=dim, **forest)
+    near = nearest(usable, k, least_similarity - 0.006, dim=dim, compact=True, **({"trees": 8, "most": 4096} | forest))
     pairs = cut(near.select(F.least("chunk_id", "other_id").alias("chunk_id_a"), F.greatest("chunk_id", "other_id").alias("chunk_id_b")).distinct())
     wanted = pairs.select(F.explode(F.array("chunk_id_a", "chunk_id_b")).alias("chunk_id")).distinct()
     own = usable.join(wanted, "chunk_id", "left_semi")
