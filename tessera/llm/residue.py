@@ -155,7 +155,7 @@ SLOTS = [
     r"\$\([A-Z_]{3,40}\)",
 ]
 # A page or an error object as the server sends it.
-PAGE = r"(?is)(?:<!doctype[^>]*>\s*)?<html\b.{0,4000}?</html>|\{\s*\"(?:status|error|code)\"\s*:[^{}]{0,2000}\}"
+PAGE = r"(?is)(?:<!doctype[^>]*>\s*)?<html\b.*?</html>|\{\s*\"(?:status|error|code)\"\s*:[^{}]*\}"
 CODE_LINE = r"(?m)^\s*(?:(?:import|export|const|let|var|function|class|interface|return|async|await|if|for|while|switch|case|default:|throw|try|catch|else|enum|type [A-Z]|@\w+\(|describe\(|it\()\b?.*[;{(,}=>\]:]\s*|[\w.$'\"\[\]]+(?:\(.*\)|\s*[=:+-]=?\s*[^.]*)[;,{(]\s*|.*(?:=>|\{|\};?|\);|\},|/>|</\w+>\)?[;,]?)\s*|\.\w+\(.*|[)\]};,]+|//.*|/?\*.*|<[A-Za-z]\w*(?:\s[^>]*)?>?\s*|\s+\w+=\{.*|\{[\w.]+\})$"
 
 
@@ -176,7 +176,7 @@ def prose(text: Column) -> Column:
     t = F.regexp_replace(text, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"(?s)```.*?(?:```|\z)", "\n")
     t = F.regexp_replace(t, r"(?m)^[ \t]*>.*$", "")
-    t = F.regexp_replace(t, r"`[^`\n]{0,300}`", " c0de ")
+    t = F.regexp_replace(t, r"`[^`\n]*`", " c0de ")
     t = F.regexp_replace(t, PAGE, " rawerrorpage ")
     t = F.regexp_replace(t, CODE_LINE, "")
     return t
@@ -212,12 +212,11 @@ def classified(documents: DataFrame) -> DataFrame:
     dead = r"\bundefined\b|\bnull\b|\bNaN\b|\[object \w+\]|\bInvalid [Dd]ate\b"
     n_all = words(st)
     text = F.col("_ts_text")
-    long = F.length(p) > 6000
     d = d.select(
         "*",
         n_all.alias("_ts_n"),
-        F.when(long, 0).otherwise(words(F.filter(st, lambda s: s.rlike(note) | s.rlike(err)))).alias("_ts_note"),
-        F.when(long, 0).otherwise(words(F.filter(st, lambda s: s.rlike(furn) & ~(s.rlike(note) | s.rlike(err))))).alias("_ts_furn"),
+        words(F.filter(st, lambda s: s.rlike(note) | s.rlike(err))).alias("_ts_note"),
+        words(F.filter(st, lambda s: s.rlike(furn) & ~(s.rlike(note) | s.rlike(err)))).alias("_ts_furn"),
         words(F.filter(st, lambda s: s.rlike(fill))).alias("_ts_fill"),
         F.size(F.filter(st, lambda s: s.rlike(heading))).alias("_ts_heads"),
         F.size(F.filter(st, lambda s: s.rlike(stub) & ~s.rlike(heading))).alias("_ts_stubs"),
@@ -231,7 +230,7 @@ def classified(documents: DataFrame) -> DataFrame:
     n = F.greatest(F.col("_ts_n"), F.lit(1))
     kind = (
         F.when(F.col("_ts_slots"), "slot")
-        .when((F.col("_ts_braces") >= 2) & (F.length(text) < 600) & ~text.rlike(r"(?m)^(?:import|export|const|function) |=>"), "slot")
+        .when((F.col("_ts_braces") >= 2) & (F.col("_ts_braces") >= 0.1 * n) & ~text.rlike(r"(?m)^(?:import|export|const|function) |=>"), "slot")
         .when((F.col("_ts_stubs") >= 1) & (F.col("_ts_stubs") + F.col("_ts_heads") >= F.col("_ts_size")) & (F.col("_ts_heads") >= 1), "form")
         .when((F.col("_ts_stubs") >= 2) & (F.col("_ts_stubs") + F.col("_ts_heads") >= 0.8 * F.col("_ts_size")), "form")
         .when(F.col("_ts_fill") >= 0.6 * n, "filler")
