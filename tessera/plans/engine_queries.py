@@ -559,7 +559,7 @@ def vector_delta(spark: SparkSession, d: str) -> DataFrame:
     """Vectors by cache key, of earlier against later half of the snapshots."""
     m = table(spark, d, "snapshot_manifests").select("snapshot_id", "created_at").distinct()
     v = table(spark, d, "chunk_vectors").where("cache_key is not null").join(m, "snapshot_id").select("cache_key", F.coalesce(F.size("vector"), F.lit(-1)).alias("size"), "created_at").distinct()
-    middle = F.lit("2025-03-10").cast("timestamp")
+    middle = F.lit("2025-03-10").cast("timestamp_ntz")
     return refresh.delta_counts(v.where(F.col("created_at") < middle), v.where(F.col("created_at") >= middle), ["cache_key"], "size")
 
 
@@ -602,7 +602,7 @@ FANOUT_SQL = """select event_type, m.n metric_name, m.u unit, count(m.v) samples
 
 def _half(spark: SparkSession, d: str, late: bool) -> DataFrame:
     e = table(spark, d, "events")
-    cut_at = F.lit("2024-01-16").cast("timestamp")
+    cut_at = F.lit("2024-01-16").cast("timestamp_ntz")
     h = e.where(F.col("ts") >= cut_at if late else F.col("ts") < cut_at)
     return h.groupBy(F.col("event_type").alias("metric_name")).agg(F.round(F.avg("value"), 6).alias("value")).select("metric_name", F.lit("ms").alias("unit"), "value")
 
@@ -744,7 +744,7 @@ select b.repo_id, count(*) planned, count(p.r) reused, count(*) - count(p.r) par
 def touched_files(spark: SparkSession, d: str) -> DataFrame:
     """Paths whose set of inspected contents differs between March's first and second half."""
     p = table(spark, d, "parse_inspections").where("path is not null")
-    middle = F.lit("2025-03-16").cast("timestamp")
+    middle = F.lit("2025-03-16").cast("timestamp_ntz")
     sig = lambda df: refresh.signatures(df, ["repo_id", "path"], ["content_sha256", "language"])
     none = p.where("false").select("repo_id", "path")
     return refresh.touched(none, sig(p.where(F.col("parsed_at") < middle)), sig(p.where(F.col("parsed_at") >= middle)), ["repo_id", "path"])
