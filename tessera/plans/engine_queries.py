@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
@@ -231,12 +231,21 @@ select repo_id, snapshot_id, path, kind, name, visibility, 'sym.' || kind || '.'
 
 
 def module_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """The files that imports name, and those that two made specifiers name: of the file before in the folder, by stem, and of itself through the parent."""
     f = _files(spark, d)
-    return modules.resolve_relative(modules.imports(f, FILE), f, ["repo_id", "snapshot_id"])
+    c = F.col("path")
+    before = F.lag("path").over(Window.partitionBy("repo_id", "snapshot_id", paths.parent_dir(c)).orderBy("path"))
+    made = f.withColumn("before", before).select(*FILE, F.explode(F.array(F.concat(F.lit("./"), paths.file_stem(F.col("before"))), F.concat(F.lit("../"), paths.file_name(paths.parent_dir(c)), F.lit("/"), paths.file_stem(c)))).alias("module_specifier")).where("module_specifier is not null")
+    wanted = modules.imports(f, FILE).select(*FILE, "module_specifier").unionByName(made)
+    return modules.resolve_relative(wanted, f, ["repo_id", "snapshot_id"])
 
 
 RESOLVE_CTE = IMPORT_SQL + r""",
-w as (select distinct repo_id, snapshot_id, path, module_specifier from b where local_name <> '' and starts_with(module_specifier, '.')),
+fs as (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) dir, regexp_extract(path, '([^/]*)$', 1) name, lag(regexp_extract(path, '([^/]*)$', 1)) over (partition by repo_id, snapshot_id, regexp_extract(path, '^(.*)/[^/]*$', 1) order by path) pn from files),
+made as (select repo_id, snapshot_id, path, './' || regexp_replace(pn, '\.[^.]*$', '') module_specifier from fs where pn is not null
+ union all select repo_id, snapshot_id, path, '../' || regexp_extract(dir, '([^/]*)$', 1) || '/' || regexp_replace(name, '\.[^.]*$', '') from fs),
+imported as (select distinct repo_id, snapshot_id, path, module_specifier from b where local_name <> '' and starts_with(module_specifier, '.')),
+w as (select * from imported union select * from made where {made}),
 p as (select *, string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/') dir, len(regexp_extract_all(module_specifier, '\.\./')) up, regexp_replace(module_specifier, '^(\.{1,2}/)+', '') rest from w),
 t as (select *, array_to_string(list_append(dir[1:len(dir) - up], rest), '/') t from p where up <= len(dir)),
 x as (select *, lower(regexp_extract(regexp_extract(t, '([^/]*)$', 1), '\.([^.]+)$', 1)) e, regexp_replace(t, '\.[^./]+$', '') s from t),
@@ -244,7 +253,7 @@ c as (select repo_id, snapshot_id, path, module_specifier, list_concat(list_conc
  list_concat(list_transform(['ts', 'tsx', 'js', 'jsx', 'mts', 'cts'], lambda k: t || '.' || k), list_transform(['ts', 'tsx', 'js', 'jsx', 'mts', 'cts'], lambda k: t || '/index.' || k))) cs from x),
 k as (select repo_id, snapshot_id, path, module_specifier, unnest(cs) target_path, generate_subscripts(cs, 1) r from c),
 resolved as (select k.repo_id, k.snapshot_id, k.path, module_specifier, arg_min(target_path, r) target_path from k join files f on f.repo_id = k.repo_id and f.snapshot_id = k.snapshot_id and f.path = k.target_path group by 1, 2, 3, 4)"""
-RESOLVE_SQL = RESOLVE_CTE + "\nselect * from resolved"
+RESOLVE_SQL = RESOLVE_CTE.replace("{made}", "true") + "\nselect * from resolved"
 
 
 def _packages(files: DataFrame) -> DataFrame:
@@ -282,7 +291,7 @@ def test_association(spark: SparkSession, d: str) -> DataFrame:
 
 test_association.__test__ = False
 
-TEST_SQL = RESOLVE_CTE + r""",
+TEST_SQL = RESOLVE_CTE.replace("{made}", "false") + r""",
 q as (select repo_id, snapshot_id, path, regexp_extract(path, '^(packages/[^/]+)/', 1) root, regexp_extract(path, '([^/]*)$', 1) name from files),
 g as (select *, contains(lower(path), '/__tests__/') or contains(lower(path), '/tests/') or regexp_matches(lower(path), '\.(test|spec)\.(ts|tsx|js|jsx)$') is_test,
  regexp_replace(lower(case when strpos(name[2:], '.') = 0 then name else regexp_replace(name, '\.[^.]*$', '') end), '\.(test|spec)$', '') stem from q),
