@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import cut
 
+# Fixed value: after how many steps of a search the parts of what was seen are written as one.
+FOLD = 8
+
 
 def build_edges(*sources: DataFrame) -> DataFrame:
     """The union of edge sources (kind, src_key, dst_key), each edge once, with an id from its content."""
@@ -57,20 +62,23 @@ def canonical(edges: DataFrame, scope: list[str] | None = None, most_rounds: int
     return nodes.join(done, [*scope, "node"], "left").select(*scope, "node", F.coalesce("canonical", "node").alias("canonical"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, scope: list[str], most_depth: int) -> DataFrame:
-    """Nodes within ``most_depth`` steps of each start: scope, start, node, depth (least). Starts are at depth 0.
+def reachable(edges: DataFrame, starts: DataFrame, scope: list[str], most_depth: int | None = None) -> DataFrame:
+    """Nodes within ``most_depth`` steps of each start, or at any depth: scope, start, node, depth (least). Starts are at depth 0.
 
-    Breadth first: each step joins the frontier with the edges and drops what was seen.
+    Breadth first: each step joins the frontier with the edges and drops what was seen, so it ends on cycles too. Every
+    step is cut by a checkpoint, and what was seen is one table again after every ``FOLD`` steps.
     """
     e = edges.select(*scope, F.col("src_key").alias("node"), F.col("dst_key").alias("_ts_to")).distinct()
     seen = cut(starts.select(*scope, F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
     frontier = seen
-    for depth in range(1, most_depth + 1):
+    for depth in count(1) if most_depth is None else range(1, most_depth + 1):
         step = frontier.join(e, [*scope, "node"]).select(*scope, "start", F.col("_ts_to").alias("node")).distinct()
         frontier = cut(step.join(seen, [*scope, "start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % FOLD == 0:
+            seen = cut(seen.repartition(*scope, "start", "node"))
     return seen
 
 

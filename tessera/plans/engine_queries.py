@@ -338,10 +338,10 @@ LINES_SQL = f"with {FILES_SQL}, l as (select repo_id, snapshot_id, path, content
 
 
 def reverse_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Earlier names of every path, up to six renames back."""
+    """All earlier names of every path, however many renames back. ``CLOSURE_SQL`` stops after six."""
     e = _rename_edges(spark, d)
     back = e.select("repo_id", F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key"))
-    return graph.reachable(back, e.select("repo_id", F.col("dst_key").alias("node")), ["repo_id"], 6)
+    return graph.reachable(back, e.select("repo_id", F.col("dst_key").alias("node")), ["repo_id"])
 
 
 CLOSURE_SQL = """with recursive e as (select distinct repo_id, previous_path s, path t from watch_events where kind = 'renamed' and previous_path is not null),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import globs, paths, text
 from tessera.operators import eligibility, graph, impact, metrics, modules, overlay, planner, refresh, search, semantic
+from tessera.plans import engine_queries
 from tessera.plans.ordered import running_totals
 from tessera.sources import git, stores
 
@@ -177,6 +178,21 @@ def test_containers_and_reach(spark, rows):
     assert got == [("a", 0), ("b", 1), ("c", 1)]
 
 
+def test_closure_has_no_depth_limit(spark, tmp_path):
+    names = [f"n{i:02}" for i in range(30)]
+    pairs = [*zip(names, names[1:]), ("n09", "n02"), ("n00", "n05")]
+    spark.createDataFrame([("r", "renamed", a, b) for a, b in pairs], "repo_id string, kind string, previous_path string, path string").write.parquet(str(tmp_path / "watch_events.parquet"))
+    want = {}
+    for start in {b for _, b in pairs}:
+        depth, now = {start: 0}, {start}
+        while now:
+            now = {a for a, b in pairs if b in now} - set(depth)
+            depth |= dict.fromkeys(now, max(depth.values()) + 1)
+        want |= {(start, node): d for node, d in depth.items()}
+    got = {(r.start, r.node): r.depth for r in engine_queries.reverse_closure(spark, str(tmp_path)).collect()}
+    assert got == want and max(want.values()) > 20
+
+
 def test_spans(spark, rows):
     s = spark.createDataFrame([("f", "out", 0, 100), ("f", "in", 10, 20), ("f", "tie", 10, 20)], "f string, span_id string, start long, end long")
     p = spark.createDataFrame([("f", 1, 15), ("f", 2, 90), ("f", 3, 101), ("g", 4, 1)], "f string, position_id int, at long")
