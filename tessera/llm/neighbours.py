@@ -11,6 +11,7 @@ enlarges a task, and copies of one vector are collapsed before.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,23 @@ from tessera.plans.ordered import running_totals
 BITS = 63
 RUN = 1 << 16
 SLICE = 512
+# What share of the neighbours of the stated similarity all trees may miss; how similar the ten nearest are
+# taken to be where no least similarity is given.
+MISS = 0.01
+FAR = 0.5
+
+
+def trees_for(rows: int, most: int, similarity: float, miss: float = MISS) -> int:
+    """How many trees miss at most ``miss`` of the pairs of this similarity among so many vectors.
+
+    Two vectors share a bit with probability 1 - angle / pi, and a subtree if they share all bits of its prefix, which are
+    log2(rows / most) and at most about one more, as subtrees come out between half and full. The edge of a run cuts a subtree.
+    """
+    if rows <= most:
+        return 1
+    depth = math.ceil(math.log2(rows / most)) + 1
+    same = (1 - math.acos(max(-1.0, min(1.0, similarity))) / math.pi) ** depth * (1 - min(0.5, most / RUN))
+    return 1 if same >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-same))
 
 
 def planes(seed: int, trees: int, dim: int) -> np.ndarray:
@@ -81,9 +99,21 @@ def best_in(unit: np.ndarray, k: int, least_similarity: float) -> Iterator[tuple
             keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
             row, col, value = row[keep], col[keep], value[keep]
         else:
-            col = np.argpartition(sim, m - take, axis=1)[:, m - take :].ravel()
-            row = np.repeat(np.arange(n), take)
-            value = sim[row, col]
+            parts = m // 32
+            if parts > take:
+                # the k-th greatest of the parts' maxima is no more than the k-th greatest of all, and found much faster
+                tops = sim[:, : 32 * parts].reshape(n, 32, parts).max(1)
+                floor = np.partition(tops, parts - take, axis=1)[:, parts - take]
+                row, col = np.nonzero(sim >= floor[:, None])
+                value = sim[row, col]
+                order = np.lexsort((-value, row))
+                row, col, value = row[order], col[order], value[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+                row, col, value = row[keep], col[keep], value[keep]
+            else:
+                col = np.argpartition(sim, m - take, axis=1)[:, m - take :].ravel()
+                row = np.repeat(np.arange(n), take)
+                value = sim[row, col]
         if len(row):
             yield row + lo, col, value
 
@@ -130,7 +160,9 @@ def _strings(dim: int, trees: int, seed: int):
             if b.num_rows == 0:
                 continue
             x = unpack(b.column("packed").to_pylist(), dim)
-            strings = ((x @ directions > 0).reshape(len(x), trees, BITS) * weights).sum(2)
+            strings = np.empty((len(x), trees), np.int64)
+            for t in range(trees):
+                strings[:, t] = (x @ directions[:, t * BITS : (t + 1) * BITS] > 0) @ weights
             yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(strings.ravel()), trees).cast(pa.list_(pa.int64()))], names=[*b.schema.names, "strings"])
 
     return run
@@ -215,10 +247,12 @@ def nearest(usable: DataFrame, k: int = 10, least_similarity: float = -1.0, tree
 
     Similarities come from half-precision unit vectors (error below 0.001), or, if ``compact``, from one byte a number
     (below 0.006) at half the shuffle. With ``least_similarity`` only neighbours of about that much are kept, which are then
-    the first ones of the k. Copies (equal after scaling to length 1, to five digits) are one vector in the forest; in the
+    the first ones of the k. There are at least ``trees`` trees, and more where ``trees_for`` asks for them: for so many chunks,
+    at ``least_similarity``, or at ``FAR`` without one. Copies (equal after scaling to length 1, to five digits) are one vector in the forest; in the
     result each copy has its copies, in the order of their ids, before others.
     """
     e = cut(usable.mapInArrow(_encode(dim, compact), "chunk_id string, grp binary, packed binary"))
+    trees = max(trees, trees_for(e.count(), most, least_similarity if least_similarity > -1.0 else FAR))
     first = e.groupBy("grp").agg(F.min(F.struct("chunk_id", "packed")).alias("r"), F.count("*").alias("n"))
     reps = first.select(F.monotonically_increasing_id().alias("node"), "grp", "n", "r.chunk_id", "r.packed")
     reps = cut(reps.mapInArrow(_strings(dim, trees, seed), "node bigint, grp binary, n bigint, chunk_id string, packed binary, strings array<bigint>"))

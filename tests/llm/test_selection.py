@@ -110,6 +110,37 @@ def test_subtrees_hold_all_and_stay_small():
     assert max(b - a for a, b in parts) <= 256
 
 
+def test_trees_grow_with_the_rows():
+    assert [neighbours.trees_for(n, 4096, 0.9) for n in (0, 4096)] == [1, 1]
+    some = [neighbours.trees_for(n, 4096, 0.9) for n in (12_892, 128_917, 1_289_170, 12_891_700)]
+    assert some == sorted(some) and some[1] > 8 and some[2] > 16
+    assert neighbours.trees_for(128_917, 8192, 0.5) > 14 and neighbours.trees_for(10**9, 4096, 1.0) < 5
+
+
+def test_forest_keeps_its_recall_as_it_deepens(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.standard_normal((6000, 64))
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    y = 0.905 * x + (1 - 0.905**2) ** 0.5 * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"{side}{i:04}", [float(z) for z in v], 0) for side, rows in (("x", x), ("y", y)) for i, v in enumerate(rows)], VECTORS)
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neighbours.similar_pairs(df, most=16).collect()}
+    assert len(got & {(f"x{i:04}", f"y{i:04}") for i in range(6000)}) >= 0.985 * 6000
+
+
+def test_nearest_of_a_subtree_are_exact():
+    unit = np.random.default_rng(6).standard_normal((1500, 64)).astype(np.float32)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -2)
+    got = {}
+    for row, col, _ in neighbours.best_in(unit, 10, -1.0):
+        for r, c in zip(row.tolist(), col.tolist(), strict=True):
+            got.setdefault(r, set()).add(c)
+    assert got == {i: set(np.argsort(-sim[i])[:10].tolist()) for i in range(1500)}
+
+
 def plain_best_fit(sizes, capacity):
     left, where = [], [None] * len(sizes)
     for k in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
