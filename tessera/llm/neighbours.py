@@ -29,6 +29,8 @@ SLICE = 512
 # taken to be where no least similarity is given.
 MISS = 0.01
 FAR = 0.5
+# Fixed value: how far a similarity from vectors of one byte a number may be off.
+COARSE = 0.006
 
 
 def trees_for(rows: int, most: int, similarity: float, miss: float = MISS) -> int:
@@ -78,8 +80,18 @@ def subtrees(strings: np.ndarray, most: int, least: int) -> list[tuple[int, int]
     return joined
 
 
-def best_in(unit: np.ndarray, k: int, least_similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row of a subtree its ``k`` most similar others of at least the given similarity: rows, others, similarities.
+def within_k(group: np.ndarray, value: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Which rows, sorted by group and falling value, are among their group's first k or less than ``slack`` below the k-th."""
+    first = np.searchsorted(group, group, side="left")
+    keep = np.arange(len(group)) - first < k
+    if slack and len(group):
+        keep |= value >= value[np.minimum(first + k - 1, len(group) - 1)] - slack
+    return keep
+
+
+def best_in(unit: np.ndarray, k: int, least_similarity: float, slack: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of a subtree its ``k`` most similar others of at least the given similarity, and all others less than ``slack``
+    below the k-th: rows, others, similarities.
 
     Yields in slices of rows, so that the similarities of a slice and not of the whole subtree are held.
     """
@@ -96,7 +108,7 @@ def best_in(unit: np.ndarray, k: int, least_similarity: float) -> Iterator[tuple
             value = sim[row, col]
             order = np.lexsort((-value, row))
             row, col, value = row[order], col[order], value[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+            keep = within_k(row, value, k, slack)
             row, col, value = row[keep], col[keep], value[keep]
         else:
             parts = m // 32
@@ -104,11 +116,11 @@ def best_in(unit: np.ndarray, k: int, least_similarity: float) -> Iterator[tuple
                 # the k-th greatest of the parts' maxima is no more than the k-th greatest of all, and found much faster
                 tops = sim[:, : 32 * parts].reshape(n, 32, parts).max(1)
                 floor = np.partition(tops, parts - take, axis=1)[:, parts - take]
-                row, col = np.nonzero(sim >= floor[:, None])
+                row, col = np.nonzero(sim >= floor[:, None] - slack)
                 value = sim[row, col]
                 order = np.lexsort((-value, row))
                 row, col, value = row[order], col[order], value[order]
-                keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+                keep = within_k(row, value, k, slack)
                 row, col, value = row[keep], col[keep], value[keep]
             else:
                 col = np.argpartition(sim, m - take, axis=1)[:, m - take :].ravel()
@@ -172,7 +184,7 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
 
 
-def _search(dim: int, k: int, least_similarity: float, most: int):
+def _search(dim: int, k: int, least_similarity: float, most: int, slack: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -185,7 +197,7 @@ def _search(dim: int, k: int, least_similarity: float, most: int):
             for a, z in zip(edges, edges[1:], strict=False):
                 for lo, hi in subtrees(strings[a:z], most, most // 4):
                     part = nodes[a + lo : a + hi]
-                    for row, col, value in best_in(unit[a + lo : a + hi], k, least_similarity):
+                    for row, col, value in best_in(unit[a + lo : a + hi], k, least_similarity, slack):
                         own, counts = np.unique(row, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(part[own]), _lists(part[col], counts, pa.int64()), _lists(value, counts, pa.float32())], names=["node", "others", "similarities"])
 
@@ -201,7 +213,7 @@ def _search(dim: int, k: int, least_similarity: float, most: int):
     return run
 
 
-def _merge(k: int):
+def _merge(k: int, slack: float):
     """Merges the lists of all trees: rows come sorted by node; a node's lists may continue in the next batch."""
 
     def best(node: np.ndarray, other: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
@@ -212,7 +224,7 @@ def _merge(k: int):
         node, other, value = node[new], other[new], value[new]
         order = np.lexsort((other, -value, node))
         node, other, value = node[order], other[order], value[order]
-        keep = np.arange(len(node)) - np.searchsorted(node, node, side="left") < k
+        keep = within_k(node, value, k, slack)
         return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(other[keep]), pa.array(value[keep])], names=["node", "other", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,12 +258,13 @@ def nearest(usable: DataFrame, k: int = 10, least_similarity: float = -1.0, tree
     """The ``k`` most similar other chunks of every chunk, as far as the forest meets them: chunk_id, other_id, similarity.
 
     Similarities come from half-precision unit vectors (error below 0.001), or, if ``compact``, from one byte a number
-    (below 0.006) at half the shuffle. With ``least_similarity`` only neighbours of about that much are kept, which are then
+    (below ``COARSE``) at half the shuffle; then all that may be among the k by their true similarity are kept, so more than k. With ``least_similarity`` only neighbours of about that much are kept, which are then
     the first ones of the k. There are at least ``trees`` trees, and more where ``trees_for`` asks for them: for so many chunks,
     at ``least_similarity``, or at ``FAR`` without one. Copies (equal after scaling to length 1, to five digits) are one vector in the forest; in the
     result each copy has its copies, in the order of their ids, before others.
     """
     e = cut(usable.mapInArrow(_encode(dim, compact), "chunk_id string, grp binary, packed binary"))
+    slack = 2 * COARSE if compact else 0.0
     trees = max(trees, trees_for(e.count(), most, least_similarity if least_similarity > -1.0 else FAR))
     first = e.groupBy("grp").agg(F.min(F.struct("chunk_id", "packed")).alias("r"), F.count("*").alias("n"))
     reps = first.select(F.monotonically_increasing_id().alias("node"), "grp", "n", "r.chunk_id", "r.packed")
@@ -260,21 +273,25 @@ def nearest(usable: DataFrame, k: int = 10, least_similarity: float = -1.0, tree
     spread = reps.select("node", "packed", F.posexplode("strings").alias("tree", "string"))
     runs = spread.repartitionByRange(max(1, -(-rows // RUN)), "tree", "string").sortWithinPartitions("tree", "string", "node")
     # one row per node and tree, its neighbours as lists of numbers: what is shuffled stays small
-    met = runs.select("tree", "string", "node", "packed").mapInArrow(_search(dim, k, least_similarity, most), "node bigint, others array<bigint>, similarities array<float>")
-    merged = met.repartition(F.col("node")).sortWithinPartitions("node").mapInArrow(_merge(k), "node bigint, other bigint, similarity float")
+    met = runs.select("tree", "string", "node", "packed").mapInArrow(_search(dim, k, least_similarity, most, slack), "node bigint, others array<bigint>, similarities array<float>")
+    merged = met.repartition(F.col("node")).sortWithinPartitions("node").mapInArrow(_merge(k, slack), "node bigint, other bigint, similarity float")
     names = reps.select("node", "chunk_id")
     pairs = merged.join(names, "node").join(names.select(F.col("node").alias("other"), F.col("chunk_id").alias("other_id")), "other").select("chunk_id", "other_id", "similarity")
     many = reps.where("n > 1").select("grp", "chunk_id")
-    return _with_copies(pairs, e.select("chunk_id", "grp"), many, k)
+    return _with_copies(pairs, e.select("chunk_id", "grp"), many, k, slack)
 
 
-def _best(met: DataFrame, k: int) -> DataFrame:
-    """The k best of each chunk's candidates; these are at most k groups of k + 1, so a window's group is bounded."""
+def _best(met: DataFrame, k: int, slack: float = 0.0) -> DataFrame:
+    """The k best of each chunk's candidates, and those less than ``slack`` below the k-th."""
+    if slack:
+        w = Window.partitionBy("chunk_id").orderBy(F.desc("similarity"), F.asc("other_id")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        kth = met.withColumn("_ts_k", F.nth_value("similarity", k).over(w))
+        return kth.where(F.col("_ts_k").isNull() | (F.col("similarity") >= F.col("_ts_k") - slack)).drop("_ts_k")
     w = Window.partitionBy("chunk_id").orderBy(F.desc("similarity"), F.asc("other_id"))
     return met.withColumn("_ts_n", F.row_number().over(w)).where(F.col("_ts_n") <= k).drop("_ts_n")
 
 
-def _with_copies(pairs: DataFrame, members: DataFrame, many: DataFrame, k: int) -> DataFrame:
+def _with_copies(pairs: DataFrame, members: DataFrame, many: DataFrame, k: int, slack: float = 0.0) -> DataFrame:
     """Brings the copies back: each member of a group of copies meets the group's first k + 1 members and those of the neighbours.
 
     Members are numbered by a distributed rank, so a group with a third of all rows is no single task.
@@ -287,17 +304,17 @@ def _with_copies(pairs: DataFrame, members: DataFrame, many: DataFrame, k: int)
     p = pairs.select(F.col("chunk_id").alias("rep"), "other_id", "similarity")
     mine = p.join(numbered.select("rep", "chunk_id"), "rep", "left").select(F.coalesce("chunk_id", "rep").alias("chunk_id"), F.col("other_id").alias("rep"), "similarity")
     theirs = mine.join(heads.select("rep", F.col("chunk_id").alias("head")), "rep", "left").select("chunk_id", F.coalesce("head", "rep").alias("other_id"), "similarity")
-    return _best(within.unionByName(theirs), k)
+    return _best(within.unionByName(theirs), k, slack)
 
 
 def similar_pairs(vectors: DataFrame, k: int = 10, least_similarity: float = 0.9, dim: int = 64, **forest) -> DataFrame:
     """Pairs of chunks of at least the given cosine similarity where one is among the k most similar of the other.
 
-    The forest proposes pairs from compact vectors, with a margin for their error; the pairs' similarity is then computed from the vectors
-    themselves in double precision. Result: chunk_id_a < chunk_id_b, similarity; each pair once. Unusable vectors take no part.
+    The forest proposes pairs from compact vectors, with a margin for their error at the threshold and at the k-th; the pairs'
+    similarity is then computed from the vectors themselves in double precision, and only then each chunk's are cut to k. Result: chunk_id_a < chunk_id_b, similarity; each pair once. Unusable vectors take no part.
     """
     usable = usable_vectors(vectors, dim)
-    near = nearest(usable, k, least_similarity - 0.006, dim=dim, compact=True, **({"trees": 8, "most": 4096} | forest))
+    near = nearest(usable, k, least_similarity - COARSE, dim=dim, compact=True, **({"trees": 8, "most": 4096} | forest))
     pairs = cut(near.select(F.least("chunk_id", "other_id").alias("chunk_id_a"), F.greatest("chunk_id", "other_id").alias("chunk_id_b")).distinct())
     wanted = pairs.select(F.explode(F.array("chunk_id_a", "chunk_id_b")).alias("chunk_id")).distinct()
     own = usable.join(wanted, "chunk_id", "left_semi")
@@ -305,4 +322,7 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least_similarity: float = 0.9
     b = own.select(F.col("chunk_id").alias("chunk_id_b"), F.col("vector").alias("vb"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
     cosine = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va"))) / F.sqrt(dot(F.col("vb"), F.col("vb")))
-    return pairs.join(a, "chunk_id_a").join(b, "chunk_id_b").select("chunk_id_a", "chunk_id_b", cosine.alias("similarity")).where(F.col("similarity") >= least_similarity)
+    exact = pairs.join(a, "chunk_id_a").join(b, "chunk_id_b").select("chunk_id_a", "chunk_id_b", cosine.alias("similarity")).where(F.col("similarity") >= least_similarity)
+    sides = F.explode(F.array(F.struct(F.col("chunk_id_a").alias("chunk_id"), F.col("chunk_id_b").alias("other_id")), F.struct(F.col("chunk_id_b").alias("chunk_id"), F.col("chunk_id_a").alias("other_id"))))
+    best = _best(exact.select(sides.alias("x"), "similarity").select("x.*", "similarity"), k)
+    return best.select(F.least("chunk_id", "other_id").alias("chunk_id_a"), F.greatest("chunk_id", "other_id").alias("chunk_id_b"), "similarity").distinct()

@@ -110,6 +110,14 @@ def test_subtrees_hold_all_and_stay_small():
     assert max(b - a for a, b in parts) <= 256
 
 
+def test_order_of_a_dense_group_is_exact(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    data = [(f"d{i:03}", [float(z) for z in (centre + 0.05 * rng.standard_normal(64)).astype(np.float32)]) for i in range(200)]
+    df = spark.createDataFrame([(*d, 0) for d in data], VECTORS)
+    assert {(r.chunk_id_a, r.chunk_id_b) for r in neighbours.similar_pairs(df).collect()} == brute(data, 10, 0.9)
+
+
 def test_trees_grow_with_the_rows():
     assert [neighbours.trees_for(n, 4096, 0.9) for n in (0, 4096)] == [1, 1]
     some = [neighbours.trees_for(n, 4096, 0.9) for n in (12_892, 128_917, 1_289_170, 12_891_700)]
