@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tessera.plans.ordered import running_totals
 
 ITEM = ["query_id", "chunk_id"]
+#: Strictly highest in all of a query's scores or in all but one, where it has at least three: at most one candidate of a query.
+CLEAR = "scores >= 3 and strictly_best >= scores - 1"
 
 
 def long_scores(hits: DataFrame) -> DataFrame:
@@ -79,12 +81,15 @@ def closeness(scores: DataFrame, fence: float = 3.0, weights: dict[str, float] |
 
 
 def rank_hits(hits: DataFrame) -> DataFrame:
-    """The ranking of every query: rank from 1 by closeness, ties by chunk_id. A query of any size is ranked in pieces."""
-    c = closeness(long_scores(hits))
-    ranked = running_totals(c, ["query_id"], [F.desc("closeness"), F.asc("chunk_id")], None, "_ts_total", "rank")
+    """The ranking of every query: rank from 1 by closeness, ties by chunk_id, after a clear winner. A query of any size is ranked in pieces.
+
+    Closeness alone does not always put a clear winner first: the one score it may lose can cost it more than the others gain.
+    """
+    c = closeness(long_scores(hits)).withColumn("_ts_clear", F.expr(CLEAR))
+    ranked = running_totals(c, ["query_id"], [F.desc("_ts_clear"), F.desc("closeness"), F.asc("chunk_id")], None, "_ts_total", "rank")
     return ranked.select("query_id", "chunk_id", "closeness", F.col("rank").cast("bigint").alias("rank"), "scores", "strictly_best")
 
 
 def clear_winners(hits: DataFrame) -> DataFrame:
-    """Candidates strictly highest in all of a query's scores or in all but one, where it has at least three."""
-    return closeness(long_scores(hits)).where("scores >= 3 and strictly_best >= scores - 1")
+    """The first of every ranking, where it is strictly highest in all of the query's scores or in all but one of at least three."""
+    return rank_hits(hits).where("rank = 1").where(CLEAR)

@@ -51,6 +51,15 @@ def test_clear_winners(spark, rows):
     assert rows(ranking.clear_winners(spark.createDataFrame(data, HITS)).select("query_id", "chunk_id")) == [("q", "a"), ("t", "a")]
 
 
+def test_clear_winner_is_first_though_less_close(spark):
+    data = [hit("q", "a", 100, x=100, y=0), hit("q", "b", 99, x=99, y=50), hit("q", "c", 0, x=0, y=50)]
+    df = spark.createDataFrame(data, HITS)
+    ranked = {r.chunk_id: r for r in ranking.rank_hits(df).collect()}
+    assert ranked["a"].closeness < ranked["b"].closeness
+    assert [ranked[c]["rank"] for c in "abc"] == [1, 2, 3]
+    assert [r.chunk_id for r in ranking.clear_winners(df).where("rank = 1").collect()] == ["a"]
+
+
 def clusters(n, seed=3):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((n // 4, 64))
