@@ -55,10 +55,7 @@ def closeness(scores: DataFrame, fence: float = 3.0, weights: dict[str, float] |
     for label, weight in (weights or {}).items():
         w = F.when(F.col("label") == label, weight).otherwise(w)
     norm = norm.withColumn("norm", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
-    # a score that is 0 for most has a wide range even after vector normalisation; the weight evens that out, so that
-    # from worst to best every score is worth the same
-    reach = (F.col("best") - F.col("worst")) / F.col("norm")
-    norm = norm.withColumn("w", F.when(reach > 0, w / reach).otherwise(0.0))
+    norm = norm.withColumn("w", w)
     middle = F.least(F.greatest("mid", "worst"), "best")
     totals = norm.join(stats.select(*per, "mid"), per).groupBy("query_id").agg(
         F.sum(F.pow(F.col("w") * (F.col("best") - middle) / F.col("norm"), 2)).alias("up_all"),

@@ -60,6 +60,16 @@ def test_clear_winner_is_first_though_less_close(spark):
     assert [r.chunk_id for r in ranking.clear_winners(df).where("rank = 1").collect()] == ["a"]
 
 
+def test_closeness_is_vector_normalised(spark):
+    values = {"a": (10, 7, 1), "b": (12, 3, 2), "c": (11, 5, 9), "d": (10, 6, 4), "e": (13, 4, 6)}
+    df = spark.createDataFrame([hit("q", c, s, x=x, y=y) for c, (s, x, y) in values.items()], HITS)
+    m = np.array(list(values.values()), float)
+    m /= np.linalg.norm(m, axis=0)
+    up, down = (np.linalg.norm(m - m.max(0), axis=1), np.linalg.norm(m - m.min(0), axis=1))
+    got = {r.chunk_id: r.closeness for r in ranking.rank_hits(df).collect()}
+    assert all(abs(got[c] - v) < 1e-9 for c, v in zip(values, down / (up + down), strict=True))
+
+
 def clusters(n, seed=3):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((n // 4, 64))
