@@ -476,14 +476,20 @@ def _query_vector(df: DataFrame):
     return F.array(*[F.lit(float(x)) for x in v[0][0]]) if v else F.array().cast("array<double>")
 
 
+def _search_top(e: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The twenty candidates most similar to the query vector; none where the table has no such vector."""
+    q = _query_vector(e)
+    return semantic.scan_top(candidates.where(F.size(q) > 0), q, "embedding", 20, ["vec_id"]).select("vec_id", "label", "score")
+
+
 def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return semantic.scan_top(e, _query_vector(e), "embedding", 20, ["vec_id"]).select("vec_id", "label", "score")
+    return _search_top(e, e)
 
 
 def semantic_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return semantic.scan_top(e.where(search.conjunction({"label": [1, 3, 5]})), _query_vector(e), "embedding", 20, ["vec_id"]).select("vec_id", "label", "score")
+    return _search_top(e, e.where(search.conjunction({"label": [1, 3, 5]})))
 
 
 def _topk_sql(where: str) -> str:

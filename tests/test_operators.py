@@ -178,6 +178,15 @@ def test_containers_and_reach(spark, rows):
     assert got == [("a", 0), ("b", 1), ("c", 1)]
 
 
+def test_search_without_its_query_vector_finds_nothing(spark, tmp_path):
+    at = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], 1) for i in range(1, 5)], "vec_id long, embedding array<float>, label int").write.parquet(at)
+    assert engine_queries.semantic_topk(spark, str(tmp_path)).count() == 0
+    assert engine_queries.semantic_filtered_topk(spark, str(tmp_path)).count() == 0
+    spark.createDataFrame([(0, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int").write.mode("append").parquet(at)
+    assert engine_queries.semantic_topk(spark, str(tmp_path)).count() == 5
+
+
 def test_closure_has_no_depth_limit(spark, tmp_path):
     names = [f"n{i:02}" for i in range(30)]
     pairs = [*zip(names, names[1:]), ("n09", "n02"), ("n00", "n05")]
