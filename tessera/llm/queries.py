@@ -96,6 +96,23 @@ b as (select s.query_id, s.chunk_id, count(*) best from s join t on s.query_id =
 select b.query_id, b.chunk_id from b join n using (query_id) where n.scores >= 3 and b.best >= n.scores - 1"""
 
 
+P6_RANK_SQL = """
+with h as (select query_id, chunk_id, arg_max(struct_pack(score := score, factors := factors), struct_pack(a := returned_at, b := coalesce(score, -1))) h from search_hits where query_id is not null and chunk_id is not null group by 1, 2),
+l as (select query_id, chunk_id, 'score' as label, cast(h.score as double) v from h
+ union all select query_id, chunk_id, 'factor:' || f.label, cast(f.points as double) from (select query_id, chunk_id, unnest(h.factors) f from h) where f.label is not null),
+s as (select query_id, chunk_id, label, max(v) v from l where v is not null group by all),
+t as (select query_id, label, max(v) top, min(v) low, quantile_disc(v, [0.25, 0.5, 0.75]) q from s group by 1, 2 having count(v) >= 2),
+f as (select *, q[2] mid, q[1] - 3 * (q[3] - q[1]) lo, q[3] + 3 * (q[3] - q[1]) hi from t),
+x as (select s.*, f.top, f.low, f.mid, f.lo, f.hi, case when f.hi > f.lo then least(greatest(v, f.lo), f.hi) else v end x from s join f on s.query_id = f.query_id and s.label = f.label),
+n as (select query_id, label, case when sum(x * x) > 0 then sqrt(sum(x * x)) else 1 end norm, max(x) best, min(x) worst, any_value(case when hi > lo then least(greatest(mid, lo), hi) else mid end) mid, count(*) filter (where v = top) at_top, any_value(top) top from x group by 1, 2),
+e as (select distinct query_id, chunk_id from h),
+g as (select e.query_id, e.chunk_id, n.label, n.norm, n.best, n.worst, coalesce(x.x, n.mid) x, x.v = n.top and n.at_top = 1 first_ from e join n on e.query_id = n.query_id
+ left join x on x.query_id = e.query_id and x.chunk_id = e.chunk_id and x.label = n.label),
+d as (select query_id, chunk_id, sqrt(sum(pow((best - x) / norm, 2) order by label)) up, sqrt(sum(pow((worst - x) / norm, 2) order by label)) down, count(*) scores, count(*) filter (where first_) strictly_best from g group by 1, 2),
+c as (select e.query_id, e.chunk_id, round(coalesce(case when up + down > 0 then down / (up + down) end, 0.5), 12) closeness, coalesce(scores, 0) scores, coalesce(strictly_best, 0) strictly_best
+ from e left join d on e.query_id = d.query_id and e.chunk_id = d.chunk_id)
+select query_id, chunk_id, closeness, row_number() over (partition by query_id order by scores >= 3 and strictly_best >= scores - 1 desc, closeness desc, chunk_id) as "rank", scores, strictly_best from c"""
+
 P7_SQL = """
 with u as (select chunk_id, min(vector) v from chunk_vectors where chunk_id is not null and len(vector) = 64
   and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by 1),
@@ -113,4 +130,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
+    return {"p3_found": P3_SQL, "p6_found": P6_SQL, "p6_ranking": P6_RANK_SQL, "p7_found": P7_SQL}
