@@ -273,3 +273,40 @@ def test_recurring_furniture(spark):
     assert found(["a", "b", "c", "a"]) == 4
     assert found(["a", "a", "a", "a"]) == 0
     assert found(["a", "b"]) == 0
+
+
+# Templates that no phrase of the rules names, each under several sources; and what people write with such words.
+UNSEEN = [
+    "We could not verify your browser. Please complete the captcha to continue.", "Our servers are overloaded right now, please refresh in a moment.", "The connection to the server failed. Check your network and retry.", "Unusual activity from your network was blocked. Contact support with the code {n}.",
+    "Ad blockers must be disabled before this page can be displayed. Please reload.", "Your account has been suspended. Contact the administrator to sign in.", "Veuillez activer JavaScript dans votre navigateur pour continuer.", "Une erreur {n} est survenue. Veuillez recharger la page.",
+    "Die Verbindung zum Server ist fehlgeschlagen. Bitte laden Sie die Seite erneut.", "El servidor no está disponible. Vuelva a intentarlo y recargue la página.",
+]
+SPOKEN = [
+    "Access denied in staging was due to a stale token.", "Too many requests hit the queue, we added a limit.", "Something went wrong in the merge because two branches touched the lexer.", "The server returned the rows twice, fixed by sorting.", "Your session test fails because the cookie is set late.",
+    "We use cookies in two tests and removed the third.", "Application error pages are now rendered by the shell.", "Dummy text was removed from the fixtures.", "The link you followed in my comment is the old design, I added the new one below.", "Page titles could not be found by the index, now they are.",
+]
+
+
+def found_ids(spark, texts):
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(texts)], "doc_id bigint, text string, source string")
+    return {r.doc_id for r in residue.find_residue(df).collect()}
+
+
+def test_unseen_messages_that_recur(spark):
+    spread = [(t.replace("{n}", str(500 + 7 * k)), s) for t in UNSEEN for k, s in enumerate(("a", "B", "c"))]
+    once = [(t.replace("{n}", "501"), "a") for t in UNSEEN]
+    got = found_ids(spark, spread)
+    assert len(got) >= 0.7 * len(spread), [spread[i][0] for i in range(len(spread)) if i not in got]
+    # one copy alone is no proof
+    assert len(found_ids(spark, once)) < 0.5 * len(once)
+
+
+def test_what_people_say_about_errors(spark):
+    assert found_ids(spark, [(t, "a") for t in SPOKEN]) == set()
+
+
+def test_a_name_may_vary_in_a_message(spark):
+    names = ["queue", "relay", "index", "outline"]
+    texts = [(f"The upstream {n} service did not answer in time.", s) for n, s in zip(names, "abcd", strict=True)] + [("The upstream merge service did not answer in my test.", "a")]
+    assert found_ids(spark, texts) == {0, 1, 2, 3}
+    assert found_ids(spark, texts[:1]) == set()
