@@ -317,8 +317,10 @@ def find_residue(documents: DataFrame, min_docs: int = 3, min_sources: int = 2)
     # rows that repeat a document multiply all its sums alike
     whole = d.groupBy(*key).agg(F.count("*").alias("rows"), F.first(F.struct("slots", "lorem", "mash", "dead", "braces", "is_code", F.size("said").alias("size"), total.alias("n"))).alias("w"))
     groups = d.groupBy("mask_hash").agg(F.count("*").alias("group_docs"), F.approx_count_distinct("src").alias("group_sources"))
-    some = whole.join(sums, [whole[k].eqNullSafe(sums[k]) for k in key], "left").select(*[whole[k] for k in key], "rows", "w.*", *[F.coalesce(sums[c], F.lit(0)).alias(c) for c in ("note", "furniture", "fill", "heads", "stubs", "keys", "stripped", "message_docs")])
-    some = some.select("*", *[(F.col(c) / F.col("rows")).alias(f"_{c}") for c in ("note", "furniture", "fill", "heads", "stubs", "keys", "stripped")])
+    names = ("note", "furniture", "fill", "heads", "stubs", "keys", "stripped")
+    some = whole.join(sums, [whole[k].eqNullSafe(sums[k]) for k in key], "left").select(*[whole[k] for k in key], "w.*", *[(F.coalesce(sums[c], F.lit(0)) / F.col("rows")).alias(f"_{c}") for c in names], F.coalesce("message_docs", F.lit(0)).alias("message_docs"))
+    # a table of numbers from here on: the optimizer would try the verdict's conditions in all spellings of these columns
+    some = cut(some)
     n = F.greatest(F.col("n") - F.col("_stripped"), F.lit(1))
     kind = (
         F.when(F.col("slots"), "slot")
