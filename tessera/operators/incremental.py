@@ -1,18 +1,20 @@
 """Processing only new or changed records.
 
 A state table holds, per key, the hash of the content that the last successful run saw. A run hashes the
-current rows, joins them with the state, works on what is new or changed, and swaps in
+current rows, joins them with the state, writes down what is new or changed, works on that, and swaps in
 the next version of the state when all its work is done. A run that fails before the swap leaves
 the old version in force, so its records come out again; after the swap they never do.
 """
 
 from __future__ import annotations
 
-import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.versions import VersionedFolder
+
 KEY = ["source_table", "repo_id", "record_key"]
 
 
@@ -36,63 +38,49 @@ def new_or_changed(current: DataFrame, state: DataFrame) -> DataFrame:
     return joined.where("_ts_sha is null or _ts_sha <> content_sha").select(*KEY, "content_sha", F.when(F.col("_ts_sha").isNull(), "new").otherwise("changed").alias("why"))
 
 
+@dataclass
+class Work:
+    """What one run is to process: ``rows`` are written down, so that the run and its commit see the same ones."""
+
+    rows: DataFrame
+    folder: str
+    after: int | None
+
+
 class StateTable:
-    """Versioned state below ``root``: ``v<n>`` folders and ``CURRENT``, which names the one in force.
+    """Versioned state below ``root`` (see ``VersionedFolder``).
 
-    ``pending`` lists the work of the next run. ``commit`` writes the next version and swaps it in by one
-    atomic rename; folders that a crash left behind are never read and are overwritten by the next try.
+    ``pending`` writes down the work of the next run: rows that arrive later are not in it. ``commit`` makes that work, over the
+    state that it was found against, the state in force; a run that began at a version no longer in force gets ``Conflict``
+    and leaves no trace. A run that fails before its commit changes nothing, so its work comes out again.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.versions = spark, VersionedFolder(spark, root)
 
     def version(self) -> int | None:
-        if not self._fs().exists(self._path("CURRENT")):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first().value)["version"]
-
-    def read(self) -> DataFrame:
-        v = self.version()
-        if v is None:
-            return self.spark.createDataFrame([], "source_table string, repo_id string, record_key string, content_sha string")
-        return self.spark.read.parquet(f"{self.root}/v{v}")
+        return self.versions.version()
 
-    def pending(self, records: DataFrame) -> DataFrame:
+    def pending(self, records: DataFrame) -> Work:
         """New and changed keys of ``records`` (see ``versions``) against the version in force."""
-        return new_or_changed(versions(records), self.read())
-
-    def commit(self, records: DataFrame) -> int:
-        """Makes the latest contents in ``records``, over those of the old state, the state in force."""
-        now = versions(records).select(*KEY, "content_sha")
         v = self.version()
-        if v is not None:
-            old = self.read()
-            n = now.select(*[F.col(k).alias(f"_ts_{k}") for k in KEY])
-            on = F.lit(True)
-            for k in KEY:
-                on = on & F.col(k).eqNullSafe(F.col(f"_ts_{k}"))
-            now = now.unionByName(old.join(n, on, "left_anti"))
-        new = 0 if v is None else v + 1
-        now.write.mode("overwrite").parquet(f"{self.root}/v{new}")
-        self._swap(new)
-        return new
-
-    def _swap(self, version: int) -> None:
-        fs = self._fs()
-        out = fs.create(self._path("CURRENT.next"), True)
-        out.write(bytearray(json.dumps({"version": version}), "utf-8"))
-        out.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename")
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(self._path("CURRENT.next"), self._path("CURRENT"), options)
+        state = self.versions.read(v)
+        found = versions(records)
+        found = found.withColumn("why", F.lit("new")) if state is None else new_or_changed(found, state)
+        folder = self.versions.write(found.select(*KEY, "content_sha", "why"), "work")
+        return Work(self.spark.read.parquet(f"{self.versions.root}/{folder}"), folder, v)
+
+    def commit(self, work: Work) -> int:
+        """Makes the contents that ``work`` saw, over those of the old state, the state in force. To be called when all of it is done."""
+        if work.after is None:
+            return self.versions.put_in_force(work.folder, None)
+        old, now = self.versions.read(work.after).select(*KEY, "content_sha"), work.rows.select(*KEY, "content_sha")
+        n = now.select(*[F.col(k).alias(f"_ts_{k}") for k in KEY])
+        on = F.lit(True)
+        for k in KEY:
+            on = on & F.col(k).eqNullSafe(F.col(f"_ts_{k}"))
+        folder = self.versions.write(now.unionByName(old.join(n, on, "left_anti")), "state")
+        return self.versions.put_in_force(folder, work.after)
 
 
 def ingest_records(watch_events: DataFrame, buffers: DataFrame, inspections: DataFrame) -> DataFrame:

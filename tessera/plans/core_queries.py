@@ -20,8 +20,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     records = incremental.ingest_records(table(spark, d, "watch_events"), table(spark, d, "buffers"), table(spark, d, "parse_inspections"))
     state = incremental.StateTable(spark, scratch_path(spark, "ingest-state"))
-    state.commit(incremental.arrived_by(records, table(spark, d, "ingest_runs")))
-    return state.pending(records).select("source_table", "repo_id", "record_key")
+    state.commit(state.pending(incremental.arrived_by(records, table(spark, d, "ingest_runs"))))
+    return state.pending(records).rows.select("source_table", "repo_id", "record_key")
 
 
 PATH_SQL = r"regexp_replace(regexp_replace(regexp_replace(trim({0}), '[\\/]+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '^/|/\.?$', '', 'g')"
