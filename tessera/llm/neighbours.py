@@ -4,8 +4,9 @@ Each tree gives a vector a long bit string (signs of random projections) and kee
 partitions of (tree, string). A task holds a run of the sorted array. It descends: the run is halved at the next bit
 until a subtree is small enough to compare all its members, so a dense region gets long prefixes and a sparse one short;
 where a subtree comes out small it ascends again, joined with the neighbours that share the next shorter prefix. Candidates of
-all trees are merged and the best kept. Balance comes from the sorted order itself: no prefix, however crowded,
-enlarges a task, and copies of one vector are collapsed before.
+all trees are merged and the best kept. Balance comes from the sorted order itself: equal strings are ordered by a random
+projection, another one in each tree, so no prefix, however crowded, enlarges a task; members that share a whole string
+are parted by new planes through their own centre. Copies of one vector are collapsed before.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ MISS = 0.01
 FAR = 0.5
 # Fixed value: how far a similarity from vectors of one byte a number may be off.
 COARSE = 0.006
+# Fixed value: how many times k a list may hold before better numbers are asked.
+CROWD = 8
 
 
 def trees_for(rows: int, most: int, similarity: float, miss: float = MISS) -> int:
@@ -54,18 +57,15 @@ def planes(seed: int, trees: int, dim: int) -> np.ndarray:
 def subtrees(strings: np.ndarray, most: int, least: int) -> list[tuple[int, int]]:
     """Cuts a sorted run of strings into prefix subtrees of at most ``most`` members; small ones are joined up to that size.
 
-    Members that share all bits and are more than ``most`` are cut in order.
+    Members that share all bits and are more than ``most`` stay one block; ``parted`` cuts it.
     """
     cuts: list[tuple[int, int]] = []
     stack = [(0, len(strings), BITS - 1)]
     while stack:
         lo, hi, bit = stack.pop()
-        if hi - lo <= most:
+        if hi - lo <= most or bit < 0:
             cuts.append((lo, hi))
             continue
-        if bit < 0:
-            cuts.extend((a, min(a + most, hi)) for a in range(lo, hi, most))
-            continue
         ones = (strings[lo:hi] >> bit) & 1
         mid = lo + int(np.searchsorted(ones, 1))
         for part in ((mid, hi), (lo, mid)):
@@ -80,6 +80,22 @@ def subtrees(strings: np.ndarray, most: int, least: int) -> list[tuple[int, int]
     return joined
 
 
+def parted(unit: np.ndarray, most: int, seed: int) -> list[np.ndarray]:
+    """Cuts a crowd that one string holds into parts of at most ``most`` by planes through the centre of what is to be cut, halving at the median."""
+    rng = np.random.default_rng(seed)
+    parts, stack = [], [np.arange(len(unit))]
+    while stack:
+        at = stack.pop()
+        if len(at) <= most:
+            parts.append(at)
+            continue
+        x = unit[at]
+        order = np.argsort((x - x.mean(0)) @ rng.standard_normal(unit.shape[1]).astype(np.float32), kind="stable")
+        half = len(at) // 2
+        stack += [at[order[:half]], at[order[half:]]]
+    return parts
+
+
 def within_k(group: np.ndarray, value: np.ndarray, k: int, slack: float) -> np.ndarray:
     """Which rows, sorted by group and falling value, are among their group's first k or less than ``slack`` below the k-th."""
     first = np.searchsorted(group, group, side="left")
@@ -89,21 +105,28 @@ def within_k(group: np.ndarray, value: np.ndarray, k: int, slack: float) -> np.n
     return keep
 
 
-def best_in(unit: np.ndarray, k: int, least_similarity: float, slack: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def best_in(unit: np.ndarray, k: int, least_similarity: float, slack: float = 0.0, fine: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each row of a subtree its ``k`` most similar others of at least the given similarity, and all others less than ``slack``
     below the k-th: rows, others, similarities.
 
-    Yields in slices of rows, so that the similarities of a slice and not of the whole subtree are held.
+    Yields in slices of rows, so that the similarities of a slice and not of the whole subtree are held. ``fine`` takes them from
+    distances to the centre of the subtree, which tell near copies apart, and gives them less 1.
     """
     m = len(unit)
+    if fine:
+        unit = unit - unit.mean(0)
+        squares = (unit * unit).sum(1)
+        least_similarity -= 1.0
     take = min(k, m - 1)
     if take < 1:
         return
     for lo in range(0, m, SLICE):
         sim = unit[lo : lo + SLICE] @ unit.T
+        if fine:
+            sim -= (squares[lo : lo + SLICE, None] + squares) / 2
         n = len(sim)
-        sim[np.arange(n), np.arange(lo, lo + n)] = -2.0
-        if least_similarity > -1.0:
+        sim[np.arange(n), np.arange(lo, lo + n)] = -4.0
+        if least_similarity > (-2.0 if fine else -1.0):
             row, col = np.nonzero(sim >= least_similarity)
             value = sim[row, col]
             order = np.lexsort((-value, row))
@@ -130,10 +153,10 @@ def best_in(unit: np.ndarray, k: int, least_similarity: float, slack: float = 0.
             yield row + lo, col, value
 
 
-def pack(unit: np.ndarray, compact: bool) -> list[bytes]:
-    """Unit vectors in half precision, or in one byte a number with a scale of its own for each vector."""
-    if not compact:
-        return [r.tobytes() for r in unit.astype(np.float16)]
+def pack(unit: np.ndarray, form: str) -> list[bytes]:
+    """Unit vectors in single (``fine``) or half precision, or (``compact``) in one byte a number with a scale of its own for each vector."""
+    if form != "compact":
+        return [r.tobytes() for r in unit.astype(np.float32 if form == "fine" else np.float16)]
     scale = (np.abs(unit).max(axis=1, keepdims=True) / 127).astype(np.float32)
     small = np.round(unit / scale).astype(np.int8)
     return [s.tobytes() + r.tobytes() for s, r in zip(scale, small, strict=True)]
@@ -144,13 +167,13 @@ def unpack(packed: list[bytes], dim: int) -> np.ndarray:
     if not packed:
         return np.empty((0, dim), np.float32)
     data = b"".join(packed)
-    if len(packed[0]) == 2 * dim:
-        return np.frombuffer(data, np.float16).reshape(-1, dim).astype(np.float32)
+    if len(packed[0]) in (2 * dim, 4 * dim):
+        return np.frombuffer(data, np.float16 if len(packed[0]) == 2 * dim else np.float32).reshape(-1, dim).astype(np.float32)
     table = np.frombuffer(data, np.uint8).reshape(-1, dim + 4)
     return table[:, 4:].view(np.int8).astype(np.float32) * table[:, :4].copy().view(np.float32)
 
 
-def _encode(dim: int, compact: bool):
+def _encode(dim: int, form: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows == 0:
@@ -159,7 +182,7 @@ def _encode(dim: int, compact: bool):
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
             grid = np.round(x * 1e5).astype(np.int32)
             groups = [hashlib.md5(r.tobytes(), usedforsecurity=False).digest() for r in grid]
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(groups, pa.binary()), pa.array(pack(x, compact), pa.binary())], names=["chunk_id", "grp", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(groups, pa.binary()), pa.array(pack(x, form), pa.binary())], names=["chunk_id", "grp", "packed"])
 
     return run
 
@@ -172,10 +195,13 @@ def _strings(dim: int, trees: int, seed: int):
             if b.num_rows == 0:
                 continue
             x = unpack(b.column("packed").to_pylist(), dim)
-            strings = np.empty((len(x), trees), np.int64)
+            strings, places = np.empty((len(x), trees), np.int64), np.empty((len(x), trees), np.float32)
             for t in range(trees):
-                strings[:, t] = (x @ directions[:, t * BITS : (t + 1) * BITS] > 0) @ weights
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(strings.ravel()), trees).cast(pa.list_(pa.int64()))], names=[*b.schema.names, "strings"])
+                across = x @ directions[:, t * BITS : (t + 1) * BITS]
+                strings[:, t] = (across > 0) @ weights
+                places[:, t] = across[:, 0]  # where equal strings lie in this tree's order
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), trees).cast(pa.list_(kind)) for v, kind in ((strings, pa.int64()), (places, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=[*b.schema.names, "strings", "places"])
 
     return run
 
@@ -184,11 +210,25 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
 
 
-def _search(dim: int, k: int, least_similarity: float, most: int, slack: float):
+def _search(dim: int, k: int, least_similarity: float, most: int, slack: float, fine: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
 
+        def leaf(unit: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+            crowded = False
+            for row, col, value in best_in(unit, k, least_similarity, slack, fine):
+                own, counts = np.unique(row, return_counts=True)
+                if slack and counts.max() > CROWD * k:
+                    # too alike for these numbers: who is nearest must come from better ones, for the whole subtree
+                    crowded = True
+                    few = np.repeat(counts <= CROWD * k, counts)
+                    own, col, value, counts = own[counts <= CROWD * k], col[few], value[few], counts[counts <= CROWD * k]
+                yield pa.RecordBatch.from_arrays([pa.array(part[own]), _lists(part[col], counts, pa.int64()), _lists(value, counts, pa.float32())], names=["node", "others", "similarities"])
+            if crowded:
+                one = np.ones(len(part), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), _lists(-one, one, pa.int64()), _lists(4.0 * one, one, pa.float32())], names=["node", "others", "similarities"])
+
         def work() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             tree, strings, nodes = (t.column(c).to_numpy() for c in ("tree", "string", "node"))
@@ -196,10 +236,11 @@ def _search(dim: int, k: int, least_similarity: float, most: int, slack: float):
             edges = [0, *(np.flatnonzero(np.diff(tree)) + 1).tolist(), len(tree)]
             for a, z in zip(edges, edges[1:], strict=False):
                 for lo, hi in subtrees(strings[a:z], most, most // 4):
-                    part = nodes[a + lo : a + hi]
-                    for row, col, value in best_in(unit[a + lo : a + hi], k, least_similarity, slack):
-                        own, counts = np.unique(row, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(part[own]), _lists(part[col], counts, pa.int64()), _lists(value, counts, pa.float32())], names=["node", "others", "similarities"])
+                    if hi - lo <= most:
+                        yield from leaf(unit[a + lo : a + hi], nodes[a + lo : a + hi])
+                        continue
+                    for at in parted(unit[a + lo : a + hi], most, int(tree[a])):
+                        yield from leaf(unit[a + lo + at], nodes[a + lo + at])
 
         for b in batches:
             held.append(b)
@@ -254,31 +295,50 @@ def usable_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
     return fine.groupBy("chunk_id").agg(F.min("vector").alias("vector"))
 
 
-def nearest(usable: DataFrame, k: int = 10, least_similarity: float = -1.0, trees: int = 10, most: int = 2048, seed: int = 11, dim: int = 64, compact: bool = False) -> DataFrame:
+def nearest(usable: DataFrame, k: int = 10, least_similarity: float = -1.0, trees: int = 10, most: int = 2048, seed: int = 11, dim: int = 64, form: str = "half") -> DataFrame:
     """The ``k`` most similar other chunks of every chunk, as far as the forest meets them: chunk_id, other_id, similarity.
 
-    Similarities come from half-precision unit vectors (error below 0.001), or, if ``compact``, from one byte a number
-    (below ``COARSE``) at half the shuffle; then all that may be among the k by their true similarity are kept, so more than k. With ``least_similarity`` only neighbours of about that much are kept, which are then
+    Similarities come from half-precision unit vectors (error below 0.001), from single precision around the centre of each subtree
+    (``fine``), or (``compact``) from one byte a number (below ``COARSE``) at half the shuffle; then all that may be among the k by their true
+    similarity are kept, so more than k, and where that is more than ``CROWD`` times k the members of the subtree are searched once more in the
+    fine form. With ``least_similarity`` only neighbours of about that much are kept, which are then
     the first ones of the k. There are at least ``trees`` trees, and more where ``trees_for`` asks for them: for so many chunks,
     at ``least_similarity``, or at ``FAR`` without one. Copies (equal after scaling to length 1, to five digits) are one vector in the forest; in the
     result each copy has its copies, in the order of their ids, before others.
     """
-    e = cut(usable.mapInArrow(_encode(dim, compact), "chunk_id string, grp binary, packed binary"))
-    slack = 2 * COARSE if compact else 0.0
-    trees = max(trees, trees_for(e.count(), most, least_similarity if least_similarity > -1.0 else FAR))
+    e = cut(usable.mapInArrow(_encode(dim, form), "chunk_id string, grp binary, packed binary"))
+    slack = 2 * COARSE if form == "compact" else 0.0
     first = e.groupBy("grp").agg(F.min(F.struct("chunk_id", "packed")).alias("r"), F.count("*").alias("n"))
     reps = first.select(F.monotonically_increasing_id().alias("node"), "grp", "n", "r.chunk_id", "r.packed")
-    reps = cut(reps.mapInArrow(_strings(dim, trees, seed), "node bigint, grp binary, n bigint, chunk_id string, packed binary, strings array<bigint>"))
+    merged, reps = _forest(reps, e.count(), k, least_similarity, trees, most, seed, dim, slack, form == "fine")
+    if slack:
+        crowd = merged.where("other < 0").select("node").distinct()
+        merged = merged.where("other >= 0").select("node", "other", "similarity")
+        crowd_ids = cut(reps.join(crowd, "node").select("chunk_id"))
+        dense = crowd_ids.count()
+        if dense:
+            better = usable.join(crowd_ids, "chunk_id", "left_semi").mapInArrow(_encode(dim, "fine"), "chunk_id string, grp binary, packed binary")
+            again = better.join(reps.select("node", "chunk_id"), "chunk_id").select("node", "grp", F.lit(1).cast("bigint").alias("n"), "chunk_id", "packed")
+            found, _ = _forest(again, dense, k, least_similarity, trees, most, seed + 1, dim, 0.0, True)
+            merged = merged.unionByName(found)
+    names = reps.select("node", "chunk_id", "n")
+    pairs = merged.join(names, "node").join(names.select(F.col("node").alias("other"), F.col("chunk_id").alias("other_id")), "other").select("chunk_id", "other_id", "similarity", "n")
+    many = reps.where("n > 1").select("grp", "chunk_id")
+    return _with_copies(pairs, e.select("chunk_id", "grp"), many, k, slack)
+
+
+def _forest(reps: DataFrame, size: int, k: int, least_similarity: float, trees: int, most: int, seed: int, dim: int, slack: float, fine: bool) -> tuple[DataFrame, DataFrame]:
+    """Searches the forest of ``reps``: merged lists (node, other, similarity) and ``reps`` with strings. An ``other`` of -1 marks a node of a crowd."""
+    trees = max(trees, trees_for(size, most, least_similarity if least_similarity > -1.0 else FAR))
+    reps = cut(reps.mapInArrow(_strings(dim, trees, seed), "node bigint, grp binary, n bigint, chunk_id string, packed binary, strings array<bigint>, places array<float>"))
     rows = reps.count() * trees
-    spread = reps.select("node", "packed", F.posexplode("strings").alias("tree", "string"))
-    runs = spread.repartitionByRange(max(1, -(-rows // RUN)), "tree", "string").sortWithinPartitions("tree", "string", "node")
+    spread = reps.select("node", "packed", F.posexplode(F.arrays_zip("strings", "places")).alias("tree", "s")).select("node", "packed", "tree", F.col("s.strings").alias("string"), F.col("s.places").alias("place"))
+    runs = spread.repartitionByRange(max(1, -(-rows // RUN)), "tree", "string", "place").sortWithinPartitions("tree", "string", "place", "node")
     # one row per node and tree, its neighbours as lists of numbers: what is shuffled stays small
-    met = runs.select("tree", "string", "node", "packed").mapInArrow(_search(dim, k, least_similarity, most, slack), "node bigint, others array<bigint>, similarities array<float>")
+    met = runs.select("tree", "string", "node", "packed").mapInArrow(_search(dim, k, least_similarity, most, slack, fine), "node bigint, others array<bigint>, similarities array<float>")
     merged = met.repartition(F.col("node")).sortWithinPartitions("node").mapInArrow(_merge(k, slack), "node bigint, other bigint, similarity float")
-    names = reps.select("node", "chunk_id")
-    pairs = merged.join(names, "node").join(names.select(F.col("node").alias("other"), F.col("chunk_id").alias("other_id")), "other").select("chunk_id", "other_id", "similarity")
-    many = reps.where("n > 1").select("grp", "chunk_id")
-    return _with_copies(pairs, e.select("chunk_id", "grp"), many, k, slack)
+    merged = cut(merged.withColumn("similarity", F.col("similarity") + 1)) if fine else cut(merged)
+    return merged, reps
 
 
 def _best(met: DataFrame, k: int, slack: float = 0.0) -> DataFrame:
@@ -301,8 +361,10 @@ def _with_copies(pairs: DataFrame, members: DataFrame, many: DataFrame, k: int,
     heads = numbered.where(F.col("nth") <= k + 1)
     within = numbered.join(heads.select("rep", F.col("chunk_id").alias("other_id")), "rep").where("chunk_id <> other_id").select("chunk_id", "other_id", F.lit(1.0).cast("float").alias("similarity"))
     # neighbours of the group, given to each member; then each neighbour that is a group, given as its first members
-    p = pairs.select(F.col("chunk_id").alias("rep"), "other_id", "similarity")
-    mine = p.join(numbered.select("rep", "chunk_id"), "rep", "left").select(F.coalesce("chunk_id", "rep").alias("chunk_id"), F.col("other_id").alias("rep"), "similarity")
+    p = pairs.select(F.col("chunk_id").alias("rep"), "other_id", "similarity", "n")
+    # an inner join, for adaptive execution splits a hot group on either side of one; single vectors need none
+    mine = p.where("n > 1").join(numbered.select("rep", "chunk_id"), "rep").select("chunk_id", F.col("other_id").alias("rep"), "similarity")
+    mine = mine.unionByName(p.where("n = 1").select(F.col("rep").alias("chunk_id"), F.col("other_id").alias("rep"), "similarity"))
     theirs = mine.join(heads.select("rep", F.col("chunk_id").alias("head")), "rep", "left").select("chunk_id", F.coalesce("head", "rep").alias("other_id"), "similarity")
     return _best(within.unionByName(theirs), k, slack)
 
@@ -314,7 +376,7 @@ def similar_pairs(vectors: DataFrame, k: int = 10, least_similarity: float = 0.9
     similarity is then computed from the vectors themselves in double precision, and only then each chunk's are cut to k. Result: chunk_id_a < chunk_id_b, similarity; each pair once. Unusable vectors take no part.
     """
     usable = usable_vectors(vectors, dim)
-    near = nearest(usable, k, least_similarity - COARSE, dim=dim, compact=True, **({"trees": 8, "most": 4096} | forest))
+    near = nearest(usable, k, least_similarity - COARSE, dim=dim, form="compact", **({"trees": 8, "most": 4096} | forest))
     pairs = cut(near.select(F.least("chunk_id", "other_id").alias("chunk_id_a"), F.greatest("chunk_id", "other_id").alias("chunk_id_b")).distinct())
     wanted = pairs.select(F.explode(F.array("chunk_id_a", "chunk_id_b")).alias("chunk_id")).distinct()
     own = usable.join(wanted, "chunk_id", "left_semi")

@@ -1,11 +1,11 @@
 """Generated, minified or vendored source files.
 
 Linear support-vector classifiers, one for each origin (emitted by a tool, minified or bundled, copied from a third party,
-data saved as code), on hashed character n-grams of the body and on path components; a second set reads the head comment alone.
+data saved as code), on hashed character n-grams of the body and on path components.
 Labels of the bounded training sample come from giveaways: notices in the head, licence banners with a version, line shape,
-the share of literals. The head is masked in the body's features, so that the body classifiers learn what such code looks like
-and find copies whose notice is gone. A part of the repositories is kept for validation. Hand-written files that a first round
-clearly takes for an origin get that label in the next, doubtful ones none.
+the share of literals. Head and tail comments are masked in the features, so that the classifiers learn what such code looks like
+and find copies whose notice is gone. A part of the repositories is kept for validation: nothing of them is learned or relabelled, and the report is
+against the labels that their giveaways gave them. In the others, hand-written files that a first round clearly takes for an origin get that label in the next, doubtful ones none.
 
 The model is a pair of small dense matrices, sent to the executors with the function; every file is then scored where it lies.
 """
@@ -26,6 +26,8 @@ KEYS = ["repo_id", "snapshot_id", "path"]
 ORIGINS = ["generated", "minified", "vendored", "data"]
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 5000
+#: Files above this size are scored but not learned from, which bounds the bytes of the sample.
+SAMPLE_FILE_BYTES = 1 << 15
 TURNS = 3
 HEAD = re.compile(r"﻿?\s*(?:(?://[^\n]*|/\*[\s\S]*?\*/|#![^\n]*)\s*)+")
 COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/")
@@ -122,11 +124,6 @@ def body_features(f: Features, path: str, text: str) -> tuple[np.ndarray, np.nda
     return f.ngrams(split_head(text)[1], (3, 5)), f.words(path_words(path))
 
 
-def head_features(f: Features, text: str) -> np.ndarray:
-    head = split_head(text)[0]
-    return f.ngrams(re.sub(r"\d+", "0", head.lower()), (4, 6)) if head else np.empty(0, np.int64)
-
-
 # ---- training -----------------------------------------------------------------------------------------------------
 
 
@@ -135,8 +132,6 @@ class Model:
     body: np.ndarray  # buckets x origins
     words: np.ndarray
     body_bias: np.ndarray
-    head: np.ndarray
-    head_bias: np.ndarray
     report: dict = field(default_factory=dict)
 
 
@@ -182,71 +177,70 @@ def train(sample: list[tuple[str, str, str]], buckets: int = BUCKETS, holdout: i
     y = {i: np.array([1.0 if label[i] == o else -1.0 for o in ORIGINS]) for i in kept}
     check = {i for i in kept if zlib.crc32(f"split:{sample[i][0]}".encode()) % holdout == 0}
     learn = [i for i in kept if i not in check]
-    model = Model(np.zeros((buckets, 4)), np.zeros((buckets, 4)), np.full(4, -1.0), np.zeros((buckets, 4)), np.full(4, -1.0))
+    model = Model(np.zeros((buckets, 4)), np.zeros((buckets, 4)), np.full(4, -1.0))
     if not any(label[i] != "hand" for i in learn) or not any(label[i] == "hand" for i in learn):
         return model
-    first = dict(label_of := {i: label[i] for i in kept})
+    trained = learn
     for turn in range(TURNS):
-        w, bias = train_svm([rows[i] for i in learn], np.array([y[i] for i in learn]), 2 * buckets)
-        scores = {i: (w[rows[i]].sum(0) / np.sqrt(max(len(rows[i]), 1)) + bias) for i in kept}
+        w, bias = train_svm([rows[i] for i in trained], np.array([y[i] for i in trained]), 2 * buckets)
         if turn == TURNS - 1:
             break
         # copies without a notice were taken for people's work by the giveaways: those that clearly look like an origin
-        # get its label, doubtful ones are left out
-        for i in kept:
-            if first[i] == "hand":
-                top = scores[i].max()
-                label_of[i] = ORIGINS[int(scores[i].argmax())] if top > 0.0 else "hand" if top < -0.75 else None
-                y[i] = np.array([1.0 if label_of[i] == o else -1.0 for o in ORIGINS])
-        learn = [i for i in kept if i not in check and label_of[i] is not None]
-    label = [label_of.get(i) for i in range(len(label))]
-    headed = [i for i in kept if split_head(sample[i][2])[0]]
-    # the head classifiers learn from what the head tells: minified and data files have nothing of their own there
-    told = {i: np.array([1.0 if (label[i] == o and o in ("generated", "vendored")) else -1.0 for o in ORIGINS]) for i in headed}
-    head_rows = {i: head_features(f, sample[i][2]) for i in headed}
-    head_learn = [i for i in headed if i in set(learn) and label[i] in ("hand", "generated", "vendored")]
-    if head_learn:
-        model.head, model.head_bias = train_svm([head_rows[i] for i in head_learn], np.array([told[i] for i in head_learn]), buckets)
+        # get its label, doubtful ones are left out; repositories kept for validation are not touched
+        trained = []
+        for i in learn:
+            if label[i] == "hand":
+                margins = w[rows[i]].sum(0) / np.sqrt(max(len(rows[i]), 1)) + bias
+                top = margins.max()
+                if -0.75 <= top <= 0.0:
+                    continue
+                now = ORIGINS[int(margins.argmax())] if top > 0.0 else "hand"
+                y[i] = np.array([1.0 if now == o else -1.0 for o in ORIGINS])
+            trained.append(i)
     model.body, model.words, model.body_bias = w[:buckets], w[buckets:], bias
-    check = {i for i in check if label[i] is not None}
-    hit = {i: scores[i].max() > 0 for i in check}
+    hit = {i: (w[rows[i]].sum(0) / np.sqrt(max(len(rows[i]), 1)) + bias).max() > 0 for i in check}
     true = {i: label[i] != "hand" for i in check}
     tp = sum(hit[i] and true[i] for i in check)
-    model.report = {"validated": len(check), "precision": tp / max(1, sum(hit.values())), "recall": tp / max(1, sum(true.values())), "learned": len(learn)}
+    model.report = {"validated": len(check), "precision": tp / max(1, sum(hit.values())), "recall": tp / max(1, sum(true.values())), "learned": len(trained)}
     return model
 
 
-def score(model: Model, f: Features, path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Margins of the body and the head classifiers; without a head the latter are -1."""
+def score(model: Model, f: Features, path: str, text: str) -> np.ndarray:
+    """Margins of the classifiers."""
     b, w = body_features(f, path, text)
-    s = (model.body[b].sum(0) + model.words[w].sum(0)) / np.sqrt(max(len(b) + len(w), 1)) + model.body_bias
-    h = head_features(f, text)
-    return s, (model.head[h].sum(0) / np.sqrt(len(h)) + model.head_bias) if len(h) else np.full(4, -1.0)
+    return (model.body[b].sum(0) + model.words[w].sum(0)) / np.sqrt(max(len(b) + len(w), 1)) + model.body_bias
 
 
-def take_sample(files: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str, str]]:
-    """At most about ``rows`` files with the least hashes of their keys, as (repo_id, path, contents); the same at any partitioning."""
-    key = F.xxhash64(*KEYS)
-    usable = files.where(F.octet_length("contents") > 0)
-    least = usable.select(key.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if least is None:
+def take_sample(files: DataFrame, rows: int = SAMPLE_ROWS, file_bytes: int = SAMPLE_FILE_BYTES) -> list[tuple[str, str, str]]:
+    """About ``rows`` files, those with the least hashes of their keys, as (repo_id, path, contents); the same at any partitioning.
+
+    The bound of the hash follows from the number of rows, which needs no column, so the texts are read once. No more than ``2 * rows``
+    rows of at most ``file_bytes`` come to the driver.
+    """
+    n = files.count()
+    if n == 0:
         return []
-    got = usable.where(key <= least).select("repo_id", "path", "contents").limit(2 * rows).collect()
+    near = F.pmod(F.xxhash64(*KEYS), F.lit(1 << 30)) <= min(1 << 30, int(rows / n * (1 << 30)) + 1)
+    got = files.where(near & F.octet_length("contents").between(1, file_bytes)).select("repo_id", "path", "contents").limit(2 * rows).collect()
     return sorted({(r.repo_id or "", r.path or "", r.contents) for r in got})
 
 
 def _classify(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features(len(model.body))
-        m = Model(model.body.astype(np.float32), model.words.astype(np.float32), model.body_bias, model.head.astype(np.float32), model.head_bias)
+        m = Model(model.body.astype(np.float32), model.words.astype(np.float32), model.body_bias)
         for b in batches:
             origin, margin = [], []
             for path, text in zip(b.column("path").to_pylist(), b.column("contents"), strict=True):
-                s, h = score(m, f, path or "", text.as_py())
-                best = np.maximum(s, h)
-                k = int(best.argmax())
-                origin.append(ORIGINS[k] if best[k] > 0 else "hand")
-                margin.append(float(best[k]))
+                text = text.as_py()
+                if not text:
+                    origin.append("hand")
+                    margin.append(None)
+                    continue
+                s = score(m, f, path or "", text)
+                k = int(s.argmax())
+                origin.append(ORIGINS[k] if s[k] > 0 else "hand")
+                margin.append(float(s[k]))
             yield pa.RecordBatch.from_arrays([b.column(k) for k in KEYS] + [pa.array(origin, pa.string()), pa.array(margin, pa.float64())], names=[*KEYS, "origin", "margin"])
 
     return run
@@ -259,6 +253,5 @@ def classified(files: DataFrame, model: Model | None = None) -> DataFrame:
     Without positive or without negative labels in the sample all files count as hand-written.
     """
     m = model or train(take_sample(files))
-    some = files.where(F.octet_length("contents") > 0).select(*KEYS, "contents").mapInArrow(_classify(m), "repo_id string, snapshot_id string, path string, origin string, margin double")
-    none = files.where("contents is null or octet_length(contents) = 0").select(*KEYS, F.lit("hand").alias("origin"), F.lit(None).cast("double").alias("margin"))
-    return some.unionByName(none).groupBy(*KEYS).agg(F.max(F.struct("margin", "origin")).alias("x")).select(*KEYS, "x.origin", "x.margin")
+    scored = files.select(*KEYS, "contents").mapInArrow(_classify(m), "repo_id string, snapshot_id string, path string, origin string, margin double")
+    return scored.groupBy(*KEYS).agg(F.max(F.struct("margin", "origin")).alias("x")).select(*KEYS, "x.origin", "x.margin")

@@ -152,12 +152,14 @@ def split_oversized(files: DataFrame, limits: DataFrame) -> DataFrame:
     start_byte, end_byte (exclusive), cut_rank (0 character .. 3 block) and the text. Pieces cover the
     file in order, none exceeds max_bytes, and each starts overlap_bytes before the end of the one before it
     (up to 3 bytes later where that would split a character). Sizes are measured, content_bytes is not believed. Null
-    contents, extensions without a limit, null limits and limits under 8 bytes are left out; an overlap is kept
-    under half of the limit; a null overlap is 0; of several limits for one extension the smallest counts. A file
+    contents, extensions without a limit and null limits are left out; a limit under 8 bytes or an overlap of less than 8 bytes
+    under the limit is an error where a file meets it; a null overlap is 0; of several limits for one extension the smallest counts. A file
     delivered again with the same contents comes out once. ``limits`` has one row per extension and is aggregated by it.
     """
-    lim = limits.groupBy(F.lower("extension").alias("_ts_ext")).agg(F.min("max_bytes").alias("max_bytes"), F.min_by("overlap_bytes", "max_bytes").alias("overlap_bytes")).where("max_bytes >= 8")
-    lim = lim.withColumn("overlap_bytes", F.least(F.greatest(F.coalesce("overlap_bytes", F.lit(0)), F.lit(0)), (F.col("max_bytes") / 2 - 1).cast("bigint")))
+    lim = limits.groupBy(F.lower("extension").alias("_ts_ext")).agg(F.min("max_bytes").alias("max_bytes"), F.min_by("overlap_bytes", "max_bytes").alias("overlap_bytes")).where("max_bytes is not null")
+    overlap = F.greatest(F.coalesce("overlap_bytes", F.lit(0)), F.lit(0))
+    told = F.concat(F.lit("no pieces can be cut for ."), "_ts_ext", F.lit(": max_bytes must be 8 at least and overlap_bytes 8 less than that"))
+    lim = lim.withColumn("overlap_bytes", F.when((F.col("max_bytes") >= 8) & (overlap <= F.col("max_bytes") - 8), overlap).otherwise(F.raise_error(told).cast("bigint")))
     f = files.select(*KEYS, "contents", extension(F.col("path")).alias("_ts_ext")).where("contents is not null")
     big = f.join(lim, "_ts_ext").where(F.octet_length("contents") > F.col("max_bytes"))
     big = big.select(*KEYS, "contents", F.xxhash64("contents").alias("content_id"), "max_bytes", "overlap_bytes")

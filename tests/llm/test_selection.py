@@ -126,7 +126,9 @@ def test_subtrees_hold_all_and_stay_small():
     s = np.sort(np.concatenate((rng.integers(0, 1 << 62, 3000), np.full(900, 7), rng.integers(0, 1 << 20, 2000))))
     parts = neighbours.subtrees(s, 256, 64)
     assert parts[0][0] == 0 and parts[-1][1] == len(s) and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
-    assert max(b - a for a, b in parts) <= 256
+    assert [b - a for a, b in parts if b - a > 256] == [900]
+    crowd = neighbours.parted(rng.standard_normal((900, 8)).astype(np.float32), 256, 1)
+    assert sorted(np.concatenate(crowd).tolist()) == list(range(900)) and max(map(len, crowd)) <= 256
 
 
 def test_order_of_a_dense_group_is_exact(spark):
@@ -137,6 +139,17 @@ def test_order_of_a_dense_group_is_exact(spark):
     assert {(r.chunk_id_a, r.chunk_id_b) for r in neighbours.similar_pairs(df).collect()} == brute(data, 10, 0.9)
 
 
+@pytest.mark.parametrize("radius", [1e-4, 3e-3])
+def test_crowds_of_near_copies(spark, radius):
+    rng = np.random.default_rng(12)
+    crowd = rng.standard_normal(64) / 8 + radius * rng.standard_normal((3000, 64))
+    rest = rng.standard_normal((1000, 64))
+    data = [(f"v{i:04}", [float(z) for z in v.astype(np.float32)]) for i, v in enumerate(np.concatenate((crowd, rest)))]
+    want = brute(data, 10, 0.9)
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neighbours.similar_pairs(spark.createDataFrame([(*d, 0) for d in data], VECTORS), most=1024).collect()}
+    assert len(want) > 10_000 and len(got & want) >= 0.9 * len(want)
+
+
 def test_trees_grow_with_the_rows():
     assert [neighbours.trees_for(n, 4096, 0.9) for n in (0, 4096)] == [1, 1]
     some = [neighbours.trees_for(n, 4096, 0.9) for n in (12_892, 128_917, 1_289_170, 12_891_700)]
@@ -238,8 +251,14 @@ def test_mixing(spark):
 
 @vocabulary
 def test_tokens_of_long_texts():
-    assert tokens.count_text("a" * 200_000, tokens.VOCABULARY) > 1000
-    assert abs(tokens.count_text("some words " * 20_000, tokens.VOCABULARY) - 40_000) < 50
+    enc = tokens.encoder(tokens.VOCABULARY)
+    rng = random.Random(3)
+    for text in ("a" * 200_000, "some words " * 20_000, "".join(rng.choice("abcdefgh") for _ in range(63_046)), "x\n" * 30_000):
+        assert tokens.count_text(text, tokens.VOCABULARY) == len(enc.encode_ordinary(text))
+    # split here: no other count than the tokenizer's where that can count
+    for text in ("a b" + " " * 1500 + "c\t\t d", "\n" * 1200 + " x " + " " * 1001, "é\u3000" * 10 + "\t" * 1100 + "it's 12 o'clock", " " * 1000):
+        assert tokens.count_text(text, tokens.VOCABULARY) == len(enc.encode_ordinary(text))
+    assert tokens.count_text(" " * 1_000_000 + "x", tokens.VOCABULARY) > 100
 
 
 RESIDUE = [

@@ -55,7 +55,7 @@ def test_cuts_lie_at_blocks_or_lines():
 def test_rows_of_any_kind(spark, rows):
     big, odd = "a = 1;\n" * 100, "é" * 300
     f = [("r", "s", "a.ts", big, "x"), ("r", "s", "a.ts", big, "x"), ("r", "s", "b.ts", odd, "x"), ("r", "s", "c.ts", "", "x"), ("r", "s", "d.ts", None, "x"), ("r", "s", "e.md", big, "x"), (None, None, "f.TS", big, "x"), ("r", "s", None, big, "x"), ("r", "s", "g.ts", "x" * 512, "x")]
-    lim = spark.createDataFrame([("ts", "ts", 512, 600), ("ts", "ts", 900, 1), ("md", "md", None, 1), (None, None, 5, None)], LIMITS)
+    lim = spark.createDataFrame([("ts", "ts", 512, 60), ("ts", "ts", 900, 1), ("md", "md", None, 1), (None, None, 5, None)], LIMITS)
     got = splitting.distinct_pieces(splitting.split_oversized(spark.createDataFrame(f, FILES), lim))
     out = rows(got.groupBy("repo_id", "path").count())
     assert [r[:2] for r in out] == [("r", "a.ts"), ("r", "b.ts"), (None, "f.TS")]
@@ -70,3 +70,19 @@ def test_many_texts_at_once(n):
     who, start, end, _ = splitting.cut_texts(texts, np.full(n + 1, 64), np.full(n + 1, 4))
     for i, t in enumerate(texts):
         assert end[who == i].max() == len(t) and start[who == i].min() == 0
+
+
+@pytest.mark.parametrize(("limit", "overlap"), [(7, 0), (100, 93), (100, 200)])
+def test_limits_that_cannot_be_kept_are_errors(spark, limit, overlap):
+    files = spark.createDataFrame([("r", "s", "a.ts", "a = 1;\n" * 100, "x")], FILES)
+    with pytest.raises(Exception, match="no pieces can be cut"):
+        splitting.split_oversized(files, spark.createDataFrame([("ts", "ts", limit, overlap)], LIMITS)).count()
+
+
+@pytest.mark.parametrize("text", ["word " * 900, "é" * 2000, "let a = b + c;\n" * 300])
+def test_large_overlaps_are_kept(text):
+    data = text.encode()
+    for limit, overlap in ((100, 92), (64, 40), (16, 8)):
+        _, start, end, _ = splitting.cut_texts([data], np.array([limit]), np.array([overlap]))
+        assert (end - start).max() <= limit and end[-1] == len(data)
+        assert all(e - overlap <= s <= e - overlap + 3 or s == 0 for s, e in zip(start[1:].tolist(), end[:-1].tolist(), strict=True))
