@@ -8,7 +8,7 @@ begins with a phrase, or only has the cues of a notice or an error, is residue i
 several sources. (3) The verdicts go back to the documents, which are residue where such messages outweigh the rest;
 placeholder rules find slots left open in prose.
 
-Everything is built from JVM expressions. Of the texts only statements with a cue leave their row, once per message.
+Everything is built from JVM expressions. Statements leave their rows once per task and message.
 """
 
 from __future__ import annotations
@@ -168,16 +168,14 @@ NARRATIVE = r"\b(?:we (?!use cookies|could not|cannot|can't|are sorry|(?:have )?
 
 
 def masked(text: Column) -> Column:
-    """``text`` in lower case with dates, addresses, ids and numbers masked and white space collapsed; what an error status is stays."""
+    """``text`` in lower case with addresses, paths, dates, ids and numbers masked and white space collapsed."""
     t = F.lower(text)
-    t = F.regexp_replace(t, r"https?://\S+|www\.\S+", "<url>")
-    t = F.regexp_replace(t, r"[\w.+-]+@[\w-]+\.[\w.]+", "<mail>")
-    t = F.regexp_replace(t, r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ip>")
-    t = F.regexp_replace(t, r"(?<!\S)/[\w.-]+(?:/[\w.-]+)+", "<path>")
-    t = F.regexp_replace(t, r"\b\d{4}-\d\d-\d\d(?:[t ]\d\d:\d\d(?::\d\d)?(?:\.\d+)?z?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "<date>")
-    t = F.regexp_replace(t, r"\b(?=[0-9a-f-]*\d)[0-9a-f][0-9a-f-]{7,}\b", "<id>")
-    t = F.regexp_replace(t, r"\d+", "#")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.when(t.rlike(r"://|www\.|@|(?<!\S)/"), F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"https?://\S+|www\.\S+", "<url>"), r"[\w.+-]+@[\w-]+\.[\w.]+", "<mail>"), r"(?<!\S)/[\w.-]+(?:/[\w.-]+)+", "<path>")).otherwise(t)
+    n = F.regexp_replace(t, r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ip>")
+    n = F.regexp_replace(n, r"\b\d{4}-\d\d-\d\d(?:[t ]\d\d:\d\d(?::\d\d)?(?:\.\d+)?z?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "<date>")
+    n = F.regexp_replace(n, r"\b(?=[0-9a-f-]*\d)[0-9a-f][0-9a-f-]{7,}\b", "<id>")
+    n = F.regexp_replace(n, r"\d+", "#")
+    return F.trim(F.regexp_replace(F.when(t.rlike("[0-9]"), n).otherwise(t), r"\s+", " "))
 
 
 def prose(text: Column) -> Column:
@@ -213,13 +211,8 @@ def _count(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
-_SHORT = 14
 # The words that frame a message in which a name varies.
 HEAD_WORDS, TAIL_WORDS = 4, 3
-_GATE = r"(?iu)rawerrorpage|" + "|".join((
-    CUE_THING, CUE_TROUBLE, r"please|bitte|por favor|verify|confirm|bestätigen|comprobando|wir prüfen|überprüfung|nothing|goes here|sample text|coming soon|dummy|paragraph|absatz|párrafo|meaning|placeholder|platzhalter|more words|hier |stelle|text|folgt|próximamente|preparación|aquí|tb[dac]|todo|fixme|xxx|\.{2}|…|- \[|<!--|describ|describe|fill|add|insert|write|enter|explain|filled|delete|n/a|none|ausfüllen|beschreib|ergänzen|complet|pendiente|definir|rellen|lösch|elimin|borre|sätze|frases",
-    r"path:|something|reload|hoppla|oops|sorry|hold on|one moment|loading|wait|uh oh|whoops|notice|moment|aviso|hinweis|vaya|sentimos|entschuldigung|cargando|laden|reload|recargar|seconds|sekunden|segundos|home|start|inicio|menu|menü|search|such|buscar|terms|privacy|impressum|datenschutz|contact|\(c\)|©|\bref\b|trace|\bray\b|incident|anfrage|permission|access|zugriff|acceso|sign in|log in|again|später|tarde|slow down|render of|zurück|volver|vuelva|ha salido|salió|schief|berechtigung|permiso|back|update it|turn (?:them|it)|bad gateway|gateway|unauthorized|no existe|no está|removed|moved|at \S+ \(",
-))
 _KEY = r"^\s*(?:t\()?['\"]?[a-z][\w-]*(?:\.[\w-]+)+['\"]?\)?[;,]?\s*$"
 _HEADING = r"^\s*#{1,6}\s.*$|^\*\*[^*]+\*\*:?$|^[^:.]{1,40}:$"
 
@@ -229,7 +222,7 @@ def _words(s: Column) -> Column:
 
 
 def statements_of(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, source, ``mask_hash``, its statements (masked hash, words, text where it has a cue) and what only its whole text tells.
+    """One row per document: doc_id, source, ``mask_hash``, its statements (masked hash, words, text) and what only its whole text tells; ``mask_hash`` is that of all its statements.
 
     Null and blank texts have no statements; a null id is kept.
     """
@@ -239,12 +232,13 @@ def statements_of(documents: DataFrame) -> DataFrame:
     # one look for any opening mark keeps plain prose off the single patterns
     slots = p.rlike(r"[{\[<@%«]|__|_(?:PLACE|HERE|GOES)|\$\(") & reduce(lambda a, b: a | b, [p.rlike(x) for x in SLOTS])
     cut_up = F.filter(F.transform(F.split(p, r"(?<=[.!?])\s+|\s*\n+\s*"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:\*\*\*|---?|•|\|)\s+|\s+$", ""))), lambda x: x.rlike(r"\S"))
-    said = F.transform(cut_up, lambda x: F.struct(F.xxhash64(masked(x)).alias("h"), _words(x).alias("n"), F.when((F.length(x) <= _SHORT) | x.rlike(_GATE) | x.rlike(_KEY) | x.rlike(_HEADING), x).alias("text")))
+    said = F.transform(cut_up, lambda x: F.struct(F.xxhash64(masked(x)).alias("h"), _words(x).alias("n"), x.alias("text")))
     lorem = r"(?i)\b(?:" + "|".join(LOREM) + r")\b"
     mash = r"(?i)(?<!\S)(?:" + "|".join(MASH) + r")(?!\S)"
     dead = r"\bundefined\b|\bnull\b|\bNaN\b|\[object \w+\]|\bInvalid [Dd]ate\b"
+    d = d.withColumn("said", said)
     return d.select(
-        "doc_id", "src", F.xxhash64(masked(text)).alias("mask_hash"), said.alias("said"), slots.alias("slots"),
+        "doc_id", "src", F.xxhash64(F.transform("said", lambda x: x["h"])).alias("mask_hash"), "said", slots.alias("slots"),
         _count(p, lorem).alias("lorem"), _count(p, mash).alias("mash"), _count(p, dead).alias("dead"),
         F.when(F.instr(text, "{") > 0, _count(F.regexp_replace(text, r"`[^`]*`", ""), r"(?<![\w${])\{[a-z_]+\}(?!\})")).otherwise(0).alias("braces"),
         text.rlike(r"(?m)^(?:import|export|const|function) |=>").alias("is_code"),
@@ -258,7 +252,7 @@ def judged_messages(said: DataFrame, min_docs: int, min_sources: int) -> DataFra
     recurs if it, or the frame of a message with a phrase (its first ``HEAD_WORDS`` or its last ``TAIL_WORDS`` words, between
     which a name may vary), is found in ``min_docs`` documents of ``min_sources`` sources.
     """
-    m = said.groupBy("h").agg(F.min("text").alias("text"), F.count("*").alias("message_docs"), F.hll_sketch_agg("src").alias("sources")).where("text is not null")
+    m = said.groupBy("h").agg(F.min("text").alias("text"), F.count("*").alias("message_docs"), F.hll_sketch_agg("src").alias("sources"))
     m = m.withColumn("s", F.regexp_replace(F.regexp_replace("text", LEAD, ""), TRAIL, ""))
     s, raw = F.col("s"), F.col("text")
     wide = lambda docs, sources: (docs >= min_docs) & (F.coalesce(F.hll_sketch_estimate(sources), F.lit(0)) >= min_sources)
@@ -269,10 +263,11 @@ def judged_messages(said: DataFrame, min_docs: int, min_sources: int) -> DataFra
     hint = (_words(s) <= 30) & ((trouble & (thing | addressed)) | (thing & s.rlike(r"(?iu)\b(?:please|bitte|veuillez|por favor)\b"))) & ~narrative & ~s.contains("c0de")
     head, stub = s.rlike(_HEADING), s.rlike(_rule(FORM_STUB))
     m = m.withColumn("opens", s.rlike(_rule(NOTICE + ERROR))).withColumn("fills", s.rlike(_rule(FILLER)))
+    m = m.withColumn("recurs", wide(F.col("message_docs"), F.col("sources")))
     m = m.select(
-        "h", "message_docs", "sources", "s", wide(F.col("message_docs"), F.col("sources")).alias("recurs"), _words(s).alias("words"), "opens", "fills",
+        "h", "message_docs", "sources", "s", "recurs", _words(s).alias("words"), "opens", "fills",
         F.when(F.col("opens"), addressed | s.rlike(_rule(NOTICE + ERROR, whole=True))).when(F.col("fills"), ~narrative | s.rlike(_rule(FILLER, whole=True))).otherwise(False).alias("sure"),
-        hint.alias("hint"), (s.rlike(_rule(FURNITURE)) | raw.rlike(_rule(FURNITURE))).alias("furniture"), head.alias("head"), (stub & ~head).alias("stub"), s.rlike(_KEY).alias("key"),
+        F.when(F.col("recurs"), hint).otherwise(False).alias("hint"), (s.rlike(_rule(FURNITURE)) | raw.rlike(_rule(FURNITURE))).alias("furniture"), head.alias("head"), (stub & ~head).alias("stub"), s.rlike(_KEY).alias("key"),
     ).where("opens or fills or hint or furniture or head or stub or key")
     m = cut(m)
     words = F.split(masked(F.col("s")), " ")
@@ -307,7 +302,7 @@ def find_residue(documents: DataFrame, min_docs: int = 3, min_sources: int = 2)
     messages = judged_messages(said.select("h", "text", "src"), min_docs, min_sources)
     note = F.col("kind") == "note"
     # a hot message lies on the probing side, where adaptive execution splits it
-    met = d.select(*key, F.explode("said").alias("x")).select(*key, "x.h", "x.n").where(F.col("x.text").isNotNull()).join(messages, "h")
+    met = d.select(*key, F.explode("said").alias("x")).select(*key, "x.h", "x.n").join(messages, "h")
     sums = met.groupBy(*key).agg(
         F.sum(F.when(note, F.col("words")).otherwise(0)).alias("note"), F.sum(F.when(F.col("kind") == "furniture", F.col("words")).otherwise(0)).alias("furniture"),
         F.sum(F.when(F.col("kind") == "filler", F.col("words")).otherwise(0)).alias("fill"), F.count_if("head").alias("heads"), F.count_if("stub").alias("stubs"), F.count_if("key").alias("keys"),
@@ -315,7 +310,7 @@ def find_residue(documents: DataFrame, min_docs: int = 3, min_sources: int = 2)
     )
     total = F.aggregate("said", F.lit(0), lambda n, x: n + x["n"])
     # rows that repeat a document multiply all its sums alike
-    whole = d.groupBy(*key).agg(F.count("*").alias("rows"), F.first(F.struct("slots", "lorem", "mash", "dead", "braces", "is_code", F.size("said").alias("size"), total.alias("n"))).alias("w"))
+    whole = d.groupBy(*key).agg(F.count("*").alias("rows"), F.max(F.struct("slots", "lorem", "mash", "dead", "braces", "is_code", F.size("said").alias("size"), total.alias("n"))).alias("w"))
     groups = d.groupBy("mask_hash").agg(F.count("*").alias("group_docs"), F.approx_count_distinct("src").alias("group_sources"))
     names = ("note", "furniture", "fill", "heads", "stubs", "keys", "stripped")
     some = whole.join(sums, [whole[k].eqNullSafe(sums[k]) for k in key], "left").select(*[whole[k] for k in key], "w.*", *[(F.coalesce(sums[c], F.lit(0)) / F.col("rows")).alias(f"_{c}") for c in names], F.coalesce("message_docs", F.lit(0)).alias("message_docs"))
