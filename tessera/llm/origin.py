@@ -66,7 +66,7 @@ def weak_label(path: str, text: str) -> str | None:
     lines = body.count("\n") + 1
     bare = LITERAL.sub("", body) if size > 300 else body
     names = sum(c.isalpha() for c in bare)
-    if size > 600 and names < 0.06 * size:
+    if size > 400 and names < 0.06 * size:
         return "data"
     if size > 250 and size / lines > 160 and names > 0.1 * size:
         blanks = bare.count(" ") + bare.count("\n") + bare.count("\t")
