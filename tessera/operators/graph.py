@@ -96,15 +96,36 @@ def container_chains(nodes: DataFrame, most_depth: int = 16) -> DataFrame:
     return t.select("id", "depth", "chain")
 
 
+# By how much the cells of each level of positions are larger than those below, and how many levels there are.
+WIDER, LEVELS = 8, 8
+
+
+def _span_cells(spans: DataFrame, bucket: int) -> DataFrame:
+    """``spans`` with the cells they lie in (``_ts_c``: level and number): of the level whose cells are no shorter than the span, so at most two."""
+    long = F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double")
+    level = F.least(F.greatest(F.ceil(F.round(F.log(long / bucket) / F.log(F.lit(float(WIDER))), 9)), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+    width = (F.lit(float(bucket)) * F.pow(F.lit(float(WIDER)), level)).cast("bigint")
+    s = spans.withColumn("_ts_l", level).withColumn("_ts_w", width)
+    cells = F.transform(F.sequence(F.floor(F.col("start") / F.col("_ts_w")), F.floor(F.col("end") / F.col("_ts_w"))), lambda c: F.struct(F.col("_ts_l").alias("l"), c.alias("c")))
+    return s.where("start <= end").select(*spans.columns, F.explode(cells).alias("_ts_c"))
+
+
+def _point_cells(points: DataFrame, bucket: int) -> DataFrame:
+    """``points`` in their cell of every level."""
+    cells = F.array(*[F.struct(F.lit(k).alias("l"), F.floor(F.col("at") / (bucket * WIDER**k)).alias("c")) for k in range(LEVELS)])
+    return points.select(*points.columns, F.explode(cells).alias("_ts_c"))
+
+
 def smallest_enclosing(points: DataFrame, spans: DataFrame, scope: list[str], point_id: str, bucket: int) -> DataFrame:
     """For each point (scope, id, at) the smallest span (scope, span_id, start, end) with start <= at <= end.
 
-    Ties: earlier start, then lesser id. Positions are cut into buckets of ``bucket`` and spans put into each that
-    they touch, so the join is by equality and a hot scope spreads over its buckets. Points in no span have no row.
+    Ties: earlier start, then lesser id. Positions are cut into cells of ``bucket`` and, for longer spans, of ever wider levels; a span lies in
+    at most two cells, however long it is, and a point in one of each level, so the join is by equality and a hot scope spreads over its
+    cells. Points in no span have no row.
     """
-    s = spans.select(*scope, "span_id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("_ts_b"))
-    p = points.select(*scope, point_id, "at", F.floor(F.col("at") / bucket).alias("_ts_b"))
-    j = p.join(s, [*scope, "_ts_b"]).where("start <= at and at <= end")
+    s = _span_cells(spans.select(*scope, "span_id", "start", "end"), bucket)
+    p = _point_cells(points.select(*scope, point_id, "at"), bucket)
+    j = p.join(s, [*scope, "_ts_c"]).where("start <= at and at <= end")
     best = F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "start", "span_id", "end")).alias("s")
     return j.groupBy(*scope, point_id, "at").agg(best).select(*scope, point_id, "at", "s.span_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
@@ -112,9 +133,9 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, scope: list[str], po
 def at_position(positions: DataFrame, occurrences: DataFrame, symbols: DataFrame, scope: list[str], bucket: int) -> DataFrame:
     """The symbol at each position (scope, position_id, at): that of the narrowest occurrence around it (ties: role rank,
     later start, id), else the narrowest symbol span. Equal positions come out once."""
-    o = occurrences.select(*scope, "occurrence_id", "symbol_id", "role_rank", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("_ts_b"))
-    p = positions.select(*scope, "position_id", "at", F.floor(F.col("at") / bucket).alias("_ts_b"))
-    hit = p.join(o, [*scope, "_ts_b"]).where("start <= at and at <= end")
+    o = _span_cells(occurrences.select(*scope, "occurrence_id", "symbol_id", "role_rank", "start", "end"), bucket)
+    p = _point_cells(positions.select(*scope, "position_id", "at"), bucket)
+    hit = p.join(o, [*scope, "_ts_c"]).where("start <= at and at <= end")
     best = F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "role_rank", (-F.col("start")).alias("s"), "occurrence_id", "symbol_id")).alias("o")
     one = [*scope, "position_id", "at"]
     first = hit.groupBy(*one).agg(best).select(*one, F.col("o.symbol_id").alias("_ts_first"))
@@ -175,6 +196,11 @@ def references(occurrences: DataFrame, canonical_of: DataFrame) -> DataFrame:
     return j.where((own & F.col("role").isin(*OWN_ROLES)) | (~own & F.col("role").isin(*ALIAS_ROLES))).select("canonical", "occurrence_id", "symbol_id", "role", "path").distinct()
 
 
+def alias_lists(canonical_of: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """The names that each canonical node goes by besides its own, sorted: canonical, aliases."""
+    return canonical_of.where("node <> canonical").groupBy(*(scope or []), "canonical").agg(F.sort_array(F.collect_set("node")).alias("aliases"))
+
+
 def aliases(canonical_of: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """How many names each canonical node goes by besides its own, and the least of them."""
     return canonical_of.where("node <> canonical").groupBy(*(scope or []), "canonical").agg(F.count("*").alias("aliases"), F.min("node").alias("first_alias"))

@@ -91,38 +91,62 @@ def reserve_budgets(routes: list[tuple[str, int]], total: int) -> list[tuple[str
     return out
 
 
+# How many candidates of a route a query takes into the fusion.
+ROUTE_BUDGETS = {"exact": 25, "symbol": 20, "semantic": 16, "impact": 8}
+
+
+class Clusters:
+    """Greedy clusters of one query's candidates: each goes to the first cluster with a member of the same symbol, of a span that
+    overlaps in the same path, or of the same path where neither has a span or a symbol."""
+
+    def __init__(self):
+        self.by_symbol: dict[str, int] = {}
+        self.by_path: dict[str, int] = {}
+        self.spans: dict[str, list[tuple[int, int, int]]] = {}
+        self.count = 0
+
+    def place(self, symbol: str | None, path: str | None, start: int | None, end: int | None) -> int:
+        found = [self.by_symbol[symbol]] if symbol in self.by_symbol else []
+        if path is not None:
+            if start is None and symbol is None and path in self.by_path:
+                found.append(self.by_path[path])
+            elif start is not None:
+                found += [k for a, z, k in self.spans.get(path, ()) if start < z and a < end]
+        k = min(found, default=self.count)
+        self.count = max(self.count, k + 1)
+        if symbol is not None:
+            self.by_symbol[symbol] = min(k, self.by_symbol.get(symbol, k))
+        if path is not None:
+            if start is not None:
+                self.spans.setdefault(path, []).append((start, end, k))
+            elif symbol is None:
+                self.by_path[path] = min(k, self.by_path.get(path, k))
+        return k
+
+
 def _fuse(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy clusters of one query's candidates in order: same symbol, spans that overlap in one path, or one path without spans."""
-    rows = rows.sort_values(["normalised", "priority", "engine_rank", "candidate_id"], ascending=[False, False, True, True], na_position="last", kind="stable")
-    clusters: list[list] = []
-    number = []
-    for r in rows.itertuples(index=False):
-        span = pd.notna(r.start)
-        for k, members in enumerate(clusters):
-            if any(
-                (isinstance(r.symbol_id, str) and r.symbol_id == m.symbol_id)
-                or (isinstance(r.path, str) and r.path == m.path and ((span and pd.notna(m.start) and r.start < m.end and m.start < r.end) or (not span and pd.isna(m.start) and not isinstance(r.symbol_id, str) and not isinstance(m.symbol_id, str))))
-                for m in members
-            ):
-                members.append(r)
-                number.append(k)
-                break
-        else:
-            clusters.append([r])
-            number.append(len(clusters) - 1)
-    return rows.assign(cluster=number)
-
-
-def fuse(candidates: DataFrame) -> DataFrame:
+    rows = rows.sort_values(["arrival", "candidate_id"], kind="stable")
+    none = lambda c: [None if pd.isna(x) else x for x in rows[c]]
+    clusters = Clusters()
+    return rows.assign(cluster=[clusters.place(*x) for x in zip(none("symbol_id"), none("path"), none("start"), none("end"), strict=True)])
+
+
+def fuse(candidates: DataFrame, budgets: dict[str, int] | None = None) -> DataFrame:
     """Clusters of candidates that mean the same place, per query: query_id, cluster, score, routes, members, best candidate.
 
-    ``candidates``: query_id, candidate_id, route, raw_score, engine_rank, symbol_id, path, start, end. The greedy order decides, so a
-    query's candidates are fused in one call; budgets bound them (25 + 20 + 16 + 8 per query). Score: the best normalised one, and
-    2 for each further route, at most 6.
+    ``candidates``: query_id, candidate_id, route, raw_score, engine_rank, symbol_id, path, start, end, and ``arrival``, the order in which they
+    came; without it routes come by priority and their candidates by engine rank. That order decides on the clusters, so a query's candidates are
+    fused in one call; ``budgets`` (such as ``ROUTE_BUDGETS``) bound them per route, by engine rank. Score: the best normalised one, and
+    2 for each further route, at most 6. Routes are listed in the order in which they came.
     """
+    if budgets is not None:
+        most = F.try_element_at(F.create_map(*[F.lit(x) for pair in budgets.items() for x in pair]), F.col("route"))
+        w = Window.partitionBy("query_id", "route").orderBy(F.asc_nulls_last("engine_rank"), "candidate_id")
+        candidates = candidates.withColumn("_ts_n", F.row_number().over(w)).where((F.col("_ts_n") <= max(budgets.values())) & (F.col("_ts_n") <= most)).drop("_ts_n")
     priority = F.try_element_at(F.create_map(*[F.lit(x) for pair in ROUTE_PRIORITY.items() for x in pair]), F.col("route"))
-    c = candidates.select("query_id", "candidate_id", "route", normalised_score(F.col("route"), F.col("raw_score")).alias("normalised"), priority.alias("priority"), "engine_rank", "symbol_id", "path", "start", "end")
-    out = "query_id string, candidate_id string, route string, normalised int, priority int, engine_rank int, symbol_id string, path string, start bigint, end bigint, cluster int"
+    came = F.col("arrival").cast("bigint") if "arrival" in candidates.columns else (F.lit(1 << 40) * (F.lit(100) - priority) + F.coalesce("engine_rank", F.lit((1 << 31) - 1))).cast("bigint")
+    c = candidates.select("query_id", "candidate_id", "route", normalised_score(F.col("route"), F.col("raw_score")).alias("normalised"), priority.alias("priority"), "engine_rank", "symbol_id", "path", "start", "end", came.alias("arrival"))
+    out = "query_id string, candidate_id string, route string, normalised int, priority int, engine_rank int, symbol_id string, path string, start bigint, end bigint, arrival bigint, cluster int"
     m = c.groupBy("query_id").applyInPandas(_fuse, out)
     g = m.groupBy("query_id", "cluster").agg(
         F.max("normalised").alias("_ts_best"),

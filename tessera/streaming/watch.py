@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.plans.ordered import running_totals
+
 # What two events on one path come to; pairs that are not named come to the later event. "" is nothing.
 MERGED = {
     ("created", "modified"): "created",
@@ -48,10 +50,10 @@ def debounce(events: DataFrame, key: list[str], at: str, kind: str, order: str,
 
 
 def flush_order(events: DataFrame, scope: list[str]) -> DataFrame:
-    """``events`` (path, previous_path, kind) with ``sequence`` from 1: by path, previous path and the rank of the kind."""
+    """``events`` (path, previous_path, kind) with ``sequence`` from 1: by path, previous path and the rank of the kind. A scope of any size is numbered in pieces."""
     rank = F.try_element_at(F.create_map(*[F.lit(x) for p in KIND_RANK.items() for x in p]), F.col("kind"))
-    w = Window.partitionBy(*scope).orderBy("path", F.asc_nulls_first("previous_path"), rank)
-    return events.withColumn("sequence", F.row_number().over(w))
+    numbered = running_totals(events.withColumn("_ts_kind", rank), scope, [F.asc("path"), F.asc_nulls_first("previous_path"), F.asc("_ts_kind")], None, "_ts_total", "sequence")
+    return numbered.drop("_ts_kind", "_ts_total").withColumn("sequence", F.col("sequence").cast("int"))
 
 
 STATE = "path string, previous_path string, kind string, last_ms bigint"

@@ -3,22 +3,9 @@
 import pytest
 
 from tessera.operators import enrichment, facts, impact
+from tessera.plans.facts_queries import FILES, WORKSPACE
 from tessera.plans.lineage import cut
 
-WORKSPACE = {
-    "package.json": '{"name": "root"}',
-    "packages/core/package.json": '{"name": "@w/core"}',
-    "packages/core/src/index.ts": "export { parse as read } from './parse';\nexport { Shape } from './shape';\n",
-    "packages/core/src/parse.ts": "import type { Shape } from './shape';\n\nexport function parse(text: string): Shape {\n  return walk(text);\n}\n\nconst walk = (text: string) => {\n  return parse(text);\n};\n",
-    "packages/core/src/shape.ts": "export interface Shape {\n  area(): number;\n}\nexport default class Square implements Shape {\n  area() { return side(); }\n}\nfunction side() { return 1; }\n",
-    "packages/core/src/parse.test.ts": "import { parse } from './parse';\ntest('x', () => parse('a'));\n",
-    "packages/app/package.json": '{"name": "@w/app"}',
-    "packages/app/src/main.ts": "import { read } from '@w/core';\nimport Box, { Shape as S } from '@w/core/shape';\n\nexport async function main() {\n  const box = new Box();\n  return read(box);\n}\n",
-    "packages/app/broken.json": "{",
-}
-FILES = "repo_id string, snapshot_id string, path string, contents string"
-
-
 @pytest.fixture(scope="module")
 def built(spark):
     files = spark.createDataFrame([("r", "s", p, c) for p, c in WORKSPACE.items()], FILES)
