@@ -58,3 +58,10 @@ def lexical_distance(left: Column, right: Column) -> Column:
     first = F.array_position(same, False)
     common = F.when(first == 0, n).otherwise(first.cast("int") - 1)
     return F.size(a) + F.size(b) - 2 * common
+
+
+def repo_relative(path: Column) -> Column:
+    """``path`` normalised (see ``slashed``) and resolved; null where it is empty, absolute, on a drive, or leaves the repository."""
+    bad = path.rlike(r"^\s*[\\/]") | path.rlike(r"^\s*[A-Za-z]:") | path.contains("\0")
+    p = resolved(slashed(path))
+    return F.when(~bad & (p != ""), p)

@@ -61,3 +61,30 @@ def similarity_score(a: Column, b: Column) -> Column:
     denominator = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     cosine = F.greatest(F.least(dot(a, b) / denominator, F.lit(1.0)), F.lit(-1.0))
     return F.when(denominator <= 1.1920929e-07, F.lit(0).cast("bigint")).otherwise(F.round((cosine + 1) * 500000).cast("bigint"))
+
+
+def normalised_vector(vector: Column) -> Column:
+    """``vector`` at length 1, in double precision; one of length 0 stays as it is."""
+    v = vector.cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(norm > 1e-12, F.transform(v, lambda x: x / norm)).otherwise(v)
+
+
+def chunk_text(sections: dict[str, Column]) -> Column:
+    """The text of a chunk: one labelled section for each column that is not null, parted by blank lines, with line feeds alone as line ends."""
+    said = [F.concat(F.lit(f"{label}:\n"), F.regexp_replace(c, r"\r\n?", "\n")) for label, c in sections.items()]
+    return F.concat_ws("\n\n", *said)
+
+
+def backing_file(target: Column) -> Column:
+    """The file that a route, setting or interface stands in: what comes before ``#``."""
+    return F.substring_index(target, "#", 1)
+
+
+def test_relevance(is_test: Column, evidence: Column, affine: Column) -> Column:
+    """The rank of a hit among tests, the most relevant first; what is no test has 0."""
+    told = F.when(evidence == "references_symbol", 0).when(evidence == "imports_file", 1)
+    return F.when(~is_test, 0).when(affine, 3).otherwise(F.coalesce(told, F.when(evidence.isNull(), 1).otherwise(2)))
+
+
+test_relevance.__test__ = False

@@ -247,3 +247,66 @@ def no_answer(trace: list[tuple[str, str]], candidates: int, ambiguous: bool) ->
     if trace and all(state == "unavailable" for _, state in trace):
         return "no_route_available"
     return "no_candidates"
+
+
+# Default and greatest limits of each kind of search.
+LIMITS = {"symbol": (25, 200), "semantic": (20, 200), "impact": (20, 200), "planner": (10, 50)}
+
+
+def clamped_limit(kind: str, asked: int | None) -> int:
+    """The limit that holds: the default where none (or, but for the planner, 0) is asked; never above the greatest, and for the planner at least 1."""
+    default, most = LIMITS[kind]
+    if asked is None or (asked == 0 and kind != "planner"):
+        return default
+    return max(min(asked, most), 1 if kind == "planner" else 0)
+
+
+def with_mode(classified: DataFrame, mode: Column) -> DataFrame:
+    """``classified`` where a ``mode`` (a style, or null) overrides what the words tell: it is then the primary style and the only one. Unknown modes override nothing."""
+    known = mode.isin(*STYLES)
+    return classified.withColumn("styles", F.when(known, F.array(mode)).otherwise(F.col("styles"))).withColumn("primary", F.when(known, mode).otherwise(F.col("primary"))).withColumn("overridden", F.coalesce(known, F.lit(False)))
+
+
+def query_ir(queries: DataFrame, text: str, limit: str | None = None, mode: str | None = None) -> DataFrame:
+    """The plan of each query as a row: normalised text, primary style, styles, routes in order, limit, change hint. Empty queries have an ``error`` and no routes."""
+    c = classify(query_features(queries, text))
+    c = with_mode(c, F.col(mode) if mode else F.lit(None).cast("string"))
+    default, most = LIMITS["planner"]
+    n = F.least(F.greatest(F.coalesce(F.col(limit) if limit else F.lit(None), F.lit(default)), F.lit(1)), F.lit(most))
+    empty = F.col("normalised") == ""
+    ordered = sorted(ROUTE_PRIORITY, key=lambda r: -ROUTE_PRIORITY[r])
+    routes = F.concat(F.array("primary"), F.filter(F.array(*map(F.lit, ordered)), lambda r: F.array_contains("styles", r) & (r != F.col("primary"))))
+    none = F.array().cast("array<string>")
+    return c.select(
+        *queries.columns, "normalised", "primary", "styles", F.when(empty, none).otherwise(routes).alias("routes"), n.cast("int").alias("plan_limit"), change_hint(F.col("_ts_words")).alias("change_hint"), "overridden",
+        F.when(empty, "empty query").alias("error"),
+    )
+
+
+CANDIDATE = ["query_id", "candidate_id", "route", "raw_score", "engine_rank", "symbol_id", "path", "start", "end", "anchor"]
+
+
+def adapted(hits: DataFrame, route: str) -> DataFrame:
+    """Hits of one engine as candidates of the common schema (``CANDIDATE``): what the engine does not know is null.
+
+    ``hits`` has query_id and hit_id, and of score, rank, symbol_id, path, start, end what there is. The anchor is the symbol, else the span, else
+    the file; hits of an impact have no span.
+    """
+    have = set(hits.columns)
+    get = lambda c, kind: (F.col(c) if c in have and not (route == "impact" and c in ("start", "end")) else F.lit(None)).cast(kind).alias(c)
+    r = hits.select("query_id", F.concat(F.lit(f"{route}:"), "hit_id").alias("candidate_id"), F.lit(route).alias("route"), get("score", "bigint"), get("rank", "int"), get("symbol_id", "string"), get("path", "string"), get("start", "bigint"), get("end", "bigint"))
+    anchor = F.when(F.col("symbol_id").isNotNull(), "symbol").when(F.col("path").isNotNull() & F.col("start").isNotNull(), "span").when(F.col("path").isNotNull(), "file")
+    return r.withColumnsRenamed({"score": "raw_score", "rank": "engine_rank"}).withColumn("anchor", anchor).select(*CANDIDATE)
+
+
+def trust_summary(trusted: DataFrame) -> DataFrame:
+    """Groups per tier of each query: query_id, tier, groups."""
+    return trusted.groupBy("query_id", "tier").agg(F.count("*").alias("groups"))
+
+
+def warnings(trusted: DataFrame, partial: Column | None = None, low_signal: Column | None = None) -> DataFrame:
+    """Per query what to be wary of: close_scores, single_route, low_trust, and partial_results or low_signal where these hold for its groups. Sorted."""
+    first = F.max(F.when(F.col("rank") == 1, F.struct("close", F.size("routes").alias("n"), "tier")))
+    flags = trusted.groupBy("query_id").agg(first.alias("f"), F.max(partial if partial is not None else F.lit(False)).alias("p"), F.max(low_signal if low_signal is not None else F.lit(False)).alias("l"))
+    said = F.array(F.when(F.col("f.close"), "close_scores"), F.when(F.col("f.n") == 1, "single_route"), F.when(F.col("f.tier").isin("low", "needs_review"), "low_trust"), F.when(F.col("p"), "partial_results"), F.when(F.col("l"), "low_signal"))
+    return flags.select("query_id", F.sort_array(F.array_compact(said)).alias("warnings"))
