@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import similarity_score, stable_digest, terms, token_estimate
@@ -49,17 +50,22 @@ def cache_split(inputs: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return j.withColumn("hit", F.col("_ts_k").isNotNull()).drop("_ts_k")
 
 
-def fixture_vector(text: str, dimensions: int) -> list[float]:
-    """A deterministic vector of length 1: SHA-256 blocks of the text with a counter, four bytes a number."""
-    values: list[float] = []
+# Who the built-in provider says it is; its digest seeds the vectors.
+FIXTURE_IDENTITY = ("deterministic_fixture", "fixture", "1", "-", "document")
+
+
+def fixture_vector(text: str, dimensions: int, identity: tuple = FIXTURE_IDENTITY) -> list[float]:
+    """A deterministic vector of length 1 in single precision: digests of identity, text and a counter as hex text, four of its bytes a number from -1 to 1."""
+    values = np.empty(0, np.float32)
     block = 0
     while len(values) < dimensions:
-        digest = hashlib.sha256(f"{block}\0{text}".encode()).digest()
-        values += [x / 2147483648.0 - 1.0 for x in struct.unpack("<8I", digest)]
+        parts = "".join(f"{p}\0" for p in (*identity, text, block))
+        raw = np.frombuffer(hashlib.sha256(parts.encode()).hexdigest().encode(), "<u4")
+        values = np.concatenate((values, raw.astype(np.float32) / np.float32(4294967295) * np.float32(2) - np.float32(1)))
         block += 1
     values = values[:dimensions]
-    norm = sum(v * v for v in values) ** 0.5
-    return [v / norm for v in values] if norm > 0 else values
+    norm = np.sqrt((values * values).sum(dtype=np.float32))
+    return (values / norm if norm > np.finfo(np.float32).eps else values).tolist()
 
 
 def embed(chunks: DataFrame, text: str, out: str = "vector", dimensions: int = 64) -> DataFrame:
@@ -91,6 +97,49 @@ def scan_top(candidates: DataFrame, query: Column, vector: str, limit: int, tie:
     return candidates.withColumn("score", similarity_score(F.col(vector), query)).orderBy(F.desc("score"), *tie).limit(limit)
 
 
+def _blocks(df: DataFrame, id_: str, vector: str, dim: int, rows: int, name: str) -> DataFrame:
+    """``df`` packed: one row per ``rows`` vectors, their ids and numbers (double precision, length 1; 0 where there is no length)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                length = np.sqrt((x * x).sum(1, keepdims=True))
+                unit = np.where(length > 0, x / np.where(length > 0, length, 1), 0)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([unit.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_units"])
+
+    v = F.col(vector)
+    fine = df.where(F.col(id_).isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
+    return fine.select(F.col(id_).cast("bigint").alias("id"), v.alias("v")).mapInArrow(run, f"{name}_ids array<bigint>, {name}_units binary")
+
+
+def block_search(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, dim: int, block: int = 2048) -> DataFrame:
+    """The ``k`` rows most similar to each query vector, exactly: query_id, ``id_``, score (0 .. 1,000,000), rank; ties by ``id_``.
+
+    Rows and queries are packed into blocks; each pair of blocks is one matrix product, of which only the best of each query go on, so what is
+    shuffled are k rows per query and block. Vectors of another length, or with null or NaN, take no part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q_ids, q, r_ids, r in zip(*(b.column(c) for c in ("q_ids", "q_units", "r_ids", "r_units")), strict=True):
+                queries_, ids = np.array(q_ids.as_py()), np.array(r_ids.as_py())
+                mine, theirs = (np.frombuffer(x.as_py(), np.float64).reshape(-1, dim) for x in (q, r))
+                score = np.floor((np.clip(mine @ theirs.T, -1, 1) + 1) * 500000 + 0.5).astype(np.int64)
+                score[~(mine.any(1)[:, None] & theirs.any(1)[None])] = 0
+                take = min(k, len(ids))
+                by_id = np.argsort(ids, kind="stable")
+                best = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :take]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries_, take)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query_id", id_, "score"])
+
+    # a stated set of queries against all rows, in blocks
+    pairs = _blocks(rows, id_, vector, dim, block, "r").crossJoin(_blocks(queries, id_, vector, dim, block, "q"))
+    near = pairs.mapInArrow(run, f"query_id bigint, {id_} bigint, score bigint")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def rerank(candidates: DataFrame, query: str, bonus: bool = True) -> DataFrame:
     """``candidates`` (semantic_score, text, path, symbol_name, package_name, symbol_kind, is_exported, is_default_export, chunk_kind)
     with the points of every signal, and score = semantic_score + points (only with ``bonus``). Null fields give no points."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import extension, repo_relative
 from tessera.functions.text import chunk_text, normalised_vector
-from tessera.operators import planner
+from tessera.operators import planner, semantic
 from tessera.plans.core_queries import PATH_SQL
 from tessera.plans.engine_queries import FILES_SQL, FUSION_SQL, _files, _plan_candidates
 from tessera.sources.tables import table
@@ -80,7 +80,31 @@ def query_plans(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", "primary", F.array_join("routes", ",").alias("routes"), "plan_limit", "change_hint", "overridden", "error")
 
 
+def _search(spark: SparkSession, d: str, labels: list[int] | None) -> DataFrame:
+    e = table(spark, d, "embeddings").where("vec_id is not null and embedding is not null")
+    rows = e.where(F.col("label").isin(labels)) if labels else e
+    return semantic.block_search(rows, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 20, 64)
+
+
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 as a query against all vectors: the twenty most similar of each."""
+    return _search(spark, d, None)
+
+
+def semantic_filtered_search(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, [1, 3, 5])
+
+
+def _search_sql(where: str) -> str:
+    return f"""with e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) v from embeddings where vec_id is not null and embedding is not null),
+n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) l from e), q as (select vec_id query_id, v qv, l ql from n where vec_id % 100 = 0),
+s as (select query_id, vec_id, cast(round((greatest(least(list_dot_product(v, qv) / (l * ql), 1), -1) + 1) * 500000) as bigint) score from n, q {where}),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) "rank" from s) select * from r where "rank" <= 20"""
+
+
 _QUERIES = {
+    "semantic_search": (semantic_search, _search_sql("")),
+    "semantic_filtered_search": (semantic_filtered_search, _search_sql("where label in (1, 3, 5)")),
     "trust_summary": (trust_summary, TRUST_SQL),
     "planner_warnings": (planner_warnings, WARNINGS_SQL),
     "candidate_schema": (candidate_schema, CANDIDATE_SQL),

@@ -1,10 +1,11 @@
 """Builds over several runs, the registry, polling, and the planner's plans and reports."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
-from tessera.operators import builds, enrichment, facts, graph, impact, planner
+from tessera.operators import builds, enrichment, facts, graph, impact, planner, semantic
 from tessera.plans import versions
 from tessera.plans.facts_queries import FILES, WORKSPACE
 from tessera.plans.lineage import cut
@@ -141,3 +142,28 @@ def test_a_span_as_long_as_the_file(spark, rows):
     got = {r.id: r.span_id for r in graph.smallest_enclosing(p, s, ["path"], "id", 16).collect()}
     want = {i: min(((e - a, a, n) for f, n, a, e in spans if a <= at <= e), default=(0, 0, None))[2] for _, i, at in points}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_block_search_is_exact(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((700, 8)).round(1)
+    x[5] = 0
+    data = [(i, [float(v) for v in row], 1) for i, row in enumerate(x)] + [(1000, None, 1), (1001, [1.0], 1), (None, [1.0] * 8, 1), (1002, [float("nan")] * 8, 1)]
+    df = spark.createDataFrame(data, "id long, v array<float>, score int")
+    got = {}
+    for r in semantic.block_search(df, df.where("id % 100 = 0 or id = 5"), "id", "v", 7, 8, block=64).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.where(np.linalg.norm(unit, axis=1, keepdims=True) > 0, np.linalg.norm(unit, axis=1, keepdims=True), 1)
+    for q, found in got.items():
+        score = np.floor((unit @ unit[q] + 1) * 500000 + 0.5).astype(int)
+        score[[not (unit[q].any() and u.any()) for u in unit]] = 0
+        want = sorted(range(700), key=lambda i: (-score[i], i))[:7]
+        assert [i for _, i, _ in sorted(found)] == want
+    assert set(got) == {0, 5, 100, 200, 300, 400, 500, 600}
+    assert semantic.block_search(df.limit(0), df, "id", "v", 3, 8).count() == 0
+
+
+def test_fixture_vectors():
+    v = semantic.fixture_vector("text", 64)
+    assert v == semantic.fixture_vector("text", 64) != semantic.fixture_vector("other", 64) and abs(sum(a * a for a in v) - 1) < 1e-5 and len(v) == 64
