@@ -320,7 +320,7 @@ def nearest(usable: DataFrame, k: int = 10, least_similarity: float = -1.0, tree
             better = usable.join(crowd_ids, "chunk_id", "left_semi").mapInArrow(_encode(dim, "fine"), "chunk_id string, grp binary, packed binary")
             again = better.join(reps.select("node", "chunk_id"), "chunk_id").select("node", "grp", F.lit(1).cast("bigint").alias("n"), "chunk_id", "packed")
             found, _ = _forest(again, dense, k, least_similarity, trees, most, seed + 1, dim, 0.0, True)
-            merged = merged.unionByName(found)
+            merged = merged.unionByName(found).groupBy("node", "other").agg(F.max("similarity").alias("similarity"))
     names = reps.select("node", "chunk_id", "n")
     pairs = merged.join(names, "node").join(names.select(F.col("node").alias("other"), F.col("chunk_id").alias("other_id")), "other").select("chunk_id", "other_id", "similarity", "n")
     many = reps.where("n > 1").select("grp", "chunk_id")

@@ -226,7 +226,7 @@ def statements_of(documents: DataFrame) -> DataFrame:
 
     Null and blank texts have no statements; a null id is kept.
     """
-    d = documents.select("doc_id", F.regexp_replace(F.lower(F.trim("source")), r"[\s-]+", "_").alias("src"), F.coalesce(F.col("text"), F.lit("")).alias("_ts_text")).where(F.col("_ts_text").rlike(r"\S"))
+    d = documents.select("doc_id", F.coalesce(F.regexp_replace(F.lower(F.trim("source")), r"[\s-]+", "_"), F.lit("")).alias("src"), F.coalesce(F.col("text"), F.lit("")).alias("_ts_text")).where(F.col("_ts_text").rlike(r"\S"))
     d = d.withColumn("_ts_prose", prose(F.col("_ts_text")))
     p, text = F.col("_ts_prose"), F.col("_ts_text")
     # one look for any opening mark keeps plain prose off the single patterns
