@@ -73,7 +73,11 @@ def bindings(imports: DataFrame, exports: DataFrame, where: DataFrame) -> DataFr
 
 
 def build(facts: DataFrame, manifests: DataFrame) -> Enrichment:
-    """The whole enrichment of extracted ``facts`` (see ``facts.extract``; written down by the caller) and package.json files."""
+    """The whole enrichment of extracted ``facts`` (see ``facts.extract``; written down by the caller) and package.json files.
+
+    Files without repo_id, snapshot_id or path have facts, but belong to no snapshot and take no part here.
+    """
+    facts = facts.where("repo_id is not null and snapshot_id is not null and path is not null")
     files = facts.select(*SCOPE, "path").distinct()
     # files delivered again have the same facts
     symbols = file_facts.symbols(facts).dropDuplicates([*SCOPE, "symbol_id"])

@@ -111,5 +111,9 @@ def test_files_of_any_kind(spark, rows):
     assert rows(facts.symbols(f).where("kind = 'function'").select("display_name")) == [("f",)]
     assert facts.extract(spark.createDataFrame([], FILES)).count() == 0
     e = enrichment.build(f, spark.createDataFrame(odd, FILES))
-    assert e.edges.count() == 0 and enrichment.impact_steps(e, "rename").count() == 2
+    assert e.edges.count() == 0 and enrichment.impact_steps(e, "rename").count() == 0
+    whole = [("r", "s", "g.ts", "function g() {")]
+    e = enrichment.build(cut(facts.extract(spark.createDataFrame(odd + whole, FILES))), spark.createDataFrame(odd, FILES))
+    # the function is declared in its file, and the file contains it; the one without a path has no snapshot
+    assert enrichment.impact_steps(e, "rename").count() == 2
     assert facts.rebound(f, "t").where("snapshot_id <> 't'").count() == 0
