@@ -338,15 +338,18 @@ LINES_SQL = f"with {FILES_SQL}, l as (select repo_id, snapshot_id, path, content
 
 
 def reverse_closure(spark: SparkSession, d: str) -> DataFrame:
-    """All earlier names of every path, however many renames back. ``CLOSURE_SQL`` stops after six."""
+    """All earlier names of every path, however many renames back."""
     e = _rename_edges(spark, d)
     back = e.select("repo_id", F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key"))
     return graph.reachable(back, e.select("repo_id", F.col("dst_key").alias("node")), ["repo_id"])
 
 
+# as many renames back as there are: a name is taken once, at the round that first reaches it
 CLOSURE_SQL = """with recursive e as (select distinct repo_id, previous_path s, path t from watch_events where kind = 'renamed' and previous_path is not null),
-r as (select distinct repo_id, t as start, t node, 0 depth from e union select r.repo_id, r.start, e.s, r.depth + 1 from r join e on e.repo_id = r.repo_id and e.t = r.node where r.depth < 6)
-select repo_id, start, node, min(depth) depth from r group by 1, 2, 3"""
+r(repo_id, start, node, depth) using key (repo_id, start, node) as (select distinct repo_id, t, t, 0 from e
+ union select r.repo_id, r.start, e.s, min(r.depth) + 1 from r join e on e.repo_id = r.repo_id and e.t = r.node
+ left join recurring.r k on k.repo_id = r.repo_id and k.start = r.start and k.node = e.s where k.node is null group by 1, 2, 3)
+select repo_id, start, node, depth from r"""
 
 
 def edge_degrees(spark: SparkSession, d: str) -> DataFrame:
