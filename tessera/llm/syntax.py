@@ -9,6 +9,7 @@ collects all errors.
 
 from __future__ import annotations
 
+import bisect
 import re
 import sys
 import threading
@@ -93,10 +94,12 @@ _CLASS = _Memo(CLASSES)
 
 # ---- lexing -------------------------------------------------------------------------------------------------------
 
+_UNCLOSED_BRACE = "unclosed brace in template or markup"
 _HAS_SUBSTITUTION = re.compile(r"\$\{")
 _JSX_START = re.compile(_COMMENT + "|" + _STRING + "|" + _PLAIN + r"|(?:[(=?:&|,{}\[>;]|\breturn|\bdefault|=>)\s*(<)(?=[A-Za-z_$>])(?![A-Za-z_$][\w$]*(?:,|\s+extends\b))")
 _JSX_TAG = re.compile(r"<\s*(/?)\s*([A-Za-z_$][\w$.:-]*)?\s*")
 _JSX_ATTRIBUTE = re.compile(r"\s*([A-Za-z_$][\w$:-]*)\s*(=)?\s*(\"[^\"]*\"|'[^']*'|(?=\{)|(?=<))?")
+_NO_ATTRIBUTE = re.compile(r"[^\s{}<>/]*\s*")
 _MODE = re.compile(_COMMENT + "|" + _STRING + r"|[`{}]")
 _TEMPLATE_PART = re.compile(r"[^`\\$]+|\\[\s\S]|\$(?!\{)|\$\{|`")
 _MARKUP_TEXT = re.compile(r"[^{}<>]*")
@@ -110,7 +113,7 @@ def _balanced(text: str, at: int) -> int:
     while True:
         m = _MODE.search(text, at)
         if not m:
-            raise SyntaxProblem(at, "unclosed brace in template or markup")
+            raise SyntaxProblem(at, _UNCLOSED_BRACE)
         at = m.end()
         c = m.group()
         if c == "{":
@@ -139,10 +142,34 @@ def _template_end(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
             at = end
 
 
-def _markup(text: str, at: int, out: list, jsx: bool, places: bool) -> int:
+def _wrong(found: list | None, at: int, what: str) -> None:
+    """Keeps an error of markup where all are wanted; the caller then goes on behind it."""
+    if found is None:
+        raise SyntaxProblem(at, what)
+    found.append((what, at))
+
+
+def _braces(text: str, at: int, b: int, out: list, jsx: bool, places: bool, found: list | None) -> int:
+    """Lexes the code in the braces of markup at ``at``; one never closed reaches to the end. Returns the position after it."""
+    try:
+        end = _balanced(text, at + 1)
+        if found is not None and end > b:
+            raise SyntaxProblem(end, _UNCLOSED_BRACE)
+    except SyntaxProblem as e:
+        _wrong(found, at if found is not None else e.at, e.what)
+        out.append(("\x01", at))
+        _lex(text, at + 1, b, out, jsx, places, found)
+        return max(at + 1, b)
+    _sub(text, at + 1, end - 1, out, jsx, places, found)
+    return end
+
+
+def _markup(text: str, at: int, b: int, out: list, jsx: bool, places: bool, found: list | None = None) -> int:
     """Reads one element of markup at ``at``; its braces are lexed into ``out``. Returns the position after it."""
     stack: list[str] = []
     out.append(("x", at))
+    # where reading goes on after errors, it stays in the code that holds the element
+    stop = len(text) if found is None else b
     while True:
         m = _JSX_TAG.match(text, at)
         if not m:
@@ -151,65 +178,77 @@ def _markup(text: str, at: int, out: list, jsx: bool, places: bool) -> int:
         begin, at = at, m.end()
         if closing:
             if not stack or stack[-1] != name or text[at : at + 1] != ">":
-                raise SyntaxProblem(begin, "closing tag does not match")
-            stack.pop()
-            at += 1
+                _wrong(found, begin, "closing tag does not match")
+                # it closes the element of its name, else the innermost
+                while name in stack and stack[-1] != name:
+                    stack.pop()
+            if stack:
+                stack.pop()
+            at += text[at : at + 1] == ">"
         else:
-            while name and text[at : at + 1] not in (">", "/", ""):
+            while name and at < stop and text[at] not in ">/":
                 if text[at] == "{":
-                    end = _balanced(text, at + 1)
-                    _sub(text, at + 1, end - 1, out, jsx, places)
-                    at = end
+                    at = _braces(text, at, b, out, jsx, places, found)
                 elif text.startswith(("/*", "//"), at):
                     at = _MAYBE_COMMENT.match(text, at).end() or at + 2
                 else:
                     a = _JSX_ATTRIBUTE.match(text, at)
                     if not a:
-                        raise SyntaxProblem(at, "bad attribute")
+                        _wrong(found, at, "bad attribute")
+                        if text[at] == "<":
+                            break
+                        at = _NO_ATTRIBUTE.match(text, at + 1).end()
+                        continue
                     at = a.end()
                     if a.group(2) and not a.group(3):
                         if text[at : at + 1] == "{":
-                            end = _balanced(text, at + 1)
-                            _sub(text, at + 1, end - 1, out, jsx, places)
-                            at = end
+                            at = _braces(text, at, b, out, jsx, places, found)
                         elif text[at : at + 1] == "<":
-                            at = _markup(text, at, out, jsx, places)
+                            at = _markup(text, at, b, out, jsx, places, found)
                         else:
-                            raise SyntaxProblem(at, "attribute without value")
+                            _wrong(found, at, "attribute without value")
                 at = _BLANK.match(text, at).end()
+            if at >= stop:
+                _wrong(found, stop, "unclosed tag")
+                return stop
             if text.startswith("/>", at):
                 at += 2
             elif text[at : at + 1] == ">":
                 at += 1
                 stack.append(name)
             else:
-                raise SyntaxProblem(at, "unclosed tag")
+                if text[at : at + 1] != "<" or not name:
+                    _wrong(found, at, "unclosed tag")
+                at += text[at : at + 1] == "/"
+                stack.append(name)
         if not stack:
-            return at
+            return at if found is None else min(at, stop)
         while True:  # children
             m = _MARKUP_TEXT.match(text, at)
             at = m.end()
-            c = text[at : at + 1]
+            c = text[at : at + 1] if at < stop else ""
             if c == "{":
-                end = _balanced(text, at + 1)
-                _sub(text, at + 1, end - 1, out, jsx, places)
-                at = end
+                at = _braces(text, at, b, out, jsx, places, found)
             elif c == "<":
                 break
             else:
-                raise SyntaxProblem(at, "unclosed element" if not c else "bare bracket in markup")
+                _wrong(found, min(at, stop), "unclosed element" if not c else "bare bracket in markup")
+                # a brace that no closing tag follows ends the code around the element
+                if not c or (c == "}" and text.find(f"</{stack[-1]}", at, b) < 0):
+                    return min(at, stop)
+                at += 1
 
 
-def _sub(text: str, a: int, b: int, out: list, jsx: bool, places: bool) -> None:
+def _sub(text: str, a: int, b: int, out: list, jsx: bool, places: bool, found: list | None = None) -> None:
     out.append(("\x01", a))
-    _lex(text, a, b, out, jsx, places)
+    _lex(text, a, b, out, jsx, places, found)
     out.append(("\x02", b))
 
 
-def _lex(text: str, a: int, b: int, out: list, jsx: bool, places: bool = True) -> None:
+def _lex(text: str, a: int, b: int, out: list, jsx: bool, places: bool = True, found: list | None = None) -> None:
     """Appends (class, position) of text[a:b]; templates with substitutions and markup are entered.
 
-    Without ``places`` a stretch of plain tokens is one item.
+    Without ``places`` a stretch of plain tokens is one item. With ``found`` errors of markup go there and reading goes on.
     """
     at = a
     while at < b:
@@ -228,7 +267,7 @@ def _lex(text: str, a: int, b: int, out: list, jsx: bool, places: bool = True) -
                 out.append(("".join(map(_CLASS.__getitem__, tokens)), at))
                 at = to
                 if to < b:
-                    at = _markup(text, to, out, jsx, places)
+                    at = _markup(text, to, b, out, jsx, places, found)
                 continue
         for m in TOKEN.finditer(text, at, to):
             t = m.group()
@@ -236,14 +275,14 @@ def _lex(text: str, a: int, b: int, out: list, jsx: bool, places: bool = True) -
                 end, spans = _template_end(text, m.end())
                 out.append(("T", m.start()))
                 for x, y in spans:
-                    _sub(text, x, y, out, jsx, places)
+                    _sub(text, x, y, out, jsx, places, found)
                 at = end
                 break
             out.append((_CLASS[t], m.start()))
         else:
             at = to
             if to < b:
-                at = _markup(text, to, out, jsx, places)
+                at = _markup(text, to, b, out, jsx, places, found)
 
 
 _SIMPLE_SUBSTITUTION = re.compile(r"\$\{[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\}")
@@ -276,6 +315,9 @@ class Groups:
         self.where: list[list[int] | None] = []
         self.known: dict[str, str] = {}
         self.verdict: dict[tuple[str, str, bool, bool], bool] = {}
+        # errors of groups with places, by (group, role); of those that panic mode passes over, by group
+        self.errors: dict[tuple[int, str], list] = {}
+        self.passed: dict[int, list] = {}
 
     def add(self, whole: str) -> str:
         c = self.known.get(whole)
@@ -404,28 +446,57 @@ class Parser:
     def inside(self, c: str, role: str):
         """Parses the content of a group in a role; its own errors stay with it when all errors are wanted."""
         g, n = self.g, ord(c) - BASE
-        if g.where[n] is None:
-            key = (c, role, self.ts, self.jsx)
-            ok = g.verdict.get(key)
-            if ok is None:
-                ok = True
-                try:
-                    sub = Parser(g.text[n], g, self.ts, self.jsx)
-                    getattr(sub, "in_" + role)()
-                    ok = sub.at_end()
-                except SyntaxProblem:
-                    ok = False
-                g.verdict[key] = ok
-            if not ok:
-                raise SyntaxProblem(self.p, f"bad {role}")
+        if self.problems is not None:
+            found = g.errors.get((n, role))
+            if found is None:
+                found = g.errors[n, role] = []
+                Parser(g.text[n], g, self.ts, self.jsx, found, g.where[n]).whole(role)
+            self.problems += found
             return
-        sub = Parser(g.text[n], g, self.ts, self.jsx, self.problems, g.where[n])
-        try:
-            getattr(sub, "in_" + role)()
-            if not sub.at_end():
-                sub.fail("unexpected token")
-        except SyntaxProblem as e:
-            raise SyntaxProblem(self.p, "\0" + str(sub.place(e.at)) + "\0" + e.what) from None
+        key = (c, role, self.ts, self.jsx)
+        ok = g.verdict.get(key)
+        if ok is None:
+            ok = True
+            try:
+                sub = Parser(g.text[n], g, self.ts, self.jsx)
+                getattr(sub, "in_" + role)()
+                ok = sub.at_end()
+            except SyntaxProblem:
+                ok = False
+            g.verdict[key] = ok
+        if not ok:
+            raise SyntaxProblem(self.p, f"bad {role}")
+
+    def whole(self, role: str):
+        """A group in a role with all its errors: after one it goes on with the next member."""
+        read = getattr(self, "in_" + role)
+        while True:
+            begin = self.p
+            try:
+                read()
+                if not self.at_end():
+                    self.fail("unexpected token")
+                return
+            except SyntaxProblem as e:
+                self.problems.append((e.what, self.place(e.at)))
+                self.recover(begin, e.at, _NEXT_MEMBER.get(role, ""), role == "class", role == "switch")
+                if self.p >= self.end:
+                    return
+
+    def pass_over(self, c: str):
+        """The errors of a group that panic mode skips, whose role is not known: those of the reading with the fewest."""
+        g, n = self.g, ord(c) - BASE
+        if n not in g.passed:
+            best = None
+            for role in _READINGS[g.kind[n]]:
+                found = []
+                if self.ts or role not in _TYPED_ROLES:
+                    Parser(g.text[n], g, self.ts, self.jsx, found, g.where[n]).whole(role)
+                    best = found if best is None or len(found) < len(best) else best
+                if not best:
+                    break
+            g.passed[n] = best
+        self.problems += g.passed[n]
 
     def place(self, at: int) -> int:
         return self.where[min(at, len(self.where) - 1)] if self.where else -1
@@ -543,7 +614,7 @@ class Parser:
                 self.expression()
             self.expect(":", "expected a colon")
             while self.peek() not in "kd\0":
-                self.statement()
+                self.statement() if self.problems is None else self.step()
 
     def in_class(self):
         while self.peek() != "\0":
@@ -1201,22 +1272,33 @@ class Parser:
                 self.statement()
                 if self.p > self.end:
                     self.fail("unexpected end")
-                continue
-            begin = self.p
-            try:
-                self.statement()
-                if self.p > self.end:
-                    self.fail("unexpected end")
-            except SyntaxProblem as e:
-                self.problems.append((e.what, self.place(e.at)))
-                self.recover(begin, e.at)
+            else:
+                self.step()
 
-    def recover(self, begin: int, at: int):
-        """Panic mode: goes on after the next semicolon, line end or block."""
+    def step(self):
+        """One statement where all errors are wanted: its error is kept and reading goes on behind it."""
+        begin = self.p
+        try:
+            self.statement()
+            if self.p > self.end:
+                self.fail("unexpected end")
+        except SyntaxProblem as e:
+            self.problems.append((e.what, self.place(e.at)))
+            self.recover(begin, e.at, ";\n", True)
+
+    def recover(self, begin: int, at: int, stops: str, block: bool = False, case: bool = False):
+        """Panic mode: goes on after the next of ``stops`` or block, or before the next case. Groups on the way are looked into."""
         s, p = self.s, min(max(begin, at), self.end)
-        while s[p] not in ";\n\0" and not self.is_group(s[p], "{"):
+        if "\n" in stops and begin < p < self.end and s[p - 1] == "\n" and s[p] in _STARTS:
+            self.p = p
+            return
+        while s[p] not in stops and s[p] != "\0" and not (case and p > begin and s[p] in "kd"):
+            if s[p] >= "\U00020000":
+                self.pass_over(s[p])
+                if block and self.is_group(s[p], "{"):
+                    break
             p += 1
-        self.p = p + (s[p] != "\0")
+        self.p = p + (s[p] != "\0" and not (case and p > begin))
 
     def variables(self, constant: bool):
         while True:
@@ -1541,6 +1623,14 @@ _STATEMENTS = {
 }
 
 
+# where panic mode goes on in a group, by role; the rest of what has one member alone is only looked into
+_NEXT_MEMBER = dict.fromkeys(("args", "array", "object", "params", "names", "enum", "tuple", "pattern_array", "pattern_object"), ",") | {"class": ";\n", "members": ";,\n"}
+_READINGS = {"(": ("args", "params", "for", "type"), "[": ("array", "pattern_array", "index", "tuple"), "{": ("block", "object", "class", "switch", "pattern_object", "names", "members", "enum"), "\x01": ("paren", "markup", "type")}
+_TYPED_ROLES = {"type", "tuple", "members", "enum"}
+# words that no expression goes on with
+_STARTS = "vcIFWDSbqrhyXg"
+
+
 # ---- the two passes -----------------------------------------------------------------------------------------------
 
 # Which extensions have markup and which have types.
@@ -1614,19 +1704,24 @@ def _accepts(text: str, extension: str, groups: Groups) -> bool:
 
 def problems(text: str, extension: str) -> list[tuple[str, int]]:
     """All errors of a text, as (what, line from 1), by line; empty for a valid one."""
+    return [(what, line) for line, _, what in errors(text, extension)]
+
+
+def errors(text: str, extension: str) -> list[tuple[int, int, str]]:
+    """All errors of a text, as (line, column, what) in this order, from 1; empty for a valid one."""
     try:
         return _problems(text, extension)
     except RecursionError:
         return _deep(lambda: _problems(text, extension), len(text))
 
 
-def _problems(text: str, extension: str) -> list[tuple[str, int]]:
+def _problems(text: str, extension: str) -> list[tuple[int, int, str]]:
     text = _clean(text)
     jsx = extension in MARKUP
     out: list[tuple[str, int]] = []
     found: list[tuple[str, int]] = []
     try:
-        _lex(text, 0, len(text), out, jsx and ("</" in text or "/>" in text))
+        _lex(text, 0, len(text), out, jsx and ("</" in text or "/>" in text), found=found)
     except SyntaxProblem as e:
         found.append((e.what, e.at))
     # build the groups with positions; a bracket that does not match is an error and closes what it can
@@ -1643,30 +1738,29 @@ def _problems(text: str, extension: str) -> list[tuple[str, int]]:
             elif any(OPENERS.get(x[0]) == c for x in stack):
                 while OPENERS[stack[-1][0]] != c:
                     kind, chars, where, begin = stack.pop()
-                    found.append((f"unclosed {kind}", begin))
+                    found.append((_UNCLOSED_BRACE if kind == "\x01" else f"unclosed {kind}", begin))
                     stack[-1][1].append(groups.place(kind, "".join(chars), [*where, at]))
                     stack[-1][2].append(begin)
                 kind, chars, where, begin = stack.pop()
                 stack[-1][1].append(groups.place(kind, "".join(chars), [*where, at]))
                 stack[-1][2].append(begin)
             else:
-                found.append((f"stray {c}", at))
+                found.append((f"stray {c}".replace("\x02", "}"), at))
         else:
             for x in c:
                 stack[-1][1].append(x)
                 stack[-1][2].append(at)
     while len(stack) > 1:
         kind, chars, where, begin = stack.pop()
-        found.append((f"unclosed {kind}", begin))
+        found.append((_UNCLOSED_BRACE if kind == "\x01" else f"unclosed {kind}", begin))
         stack[-1][1].append(groups.place(kind, "".join(chars), [*where, len(text)]))
         stack[-1][2].append(begin)
     _, chars, where, _ = stack[0]
     p = Parser("".join(chars), groups, extension in TYPED, jsx, found, [*where, len(text)])
     p.statements()
+    breaks = [m.start() for m in re.finditer("\n", text)]
     result = set()
     for what, at in found:
-        while what.startswith("\0"):
-            _, place, what = what.split("\0", 2)
-            at = int(place)
-        result.add((text.count("\n", 0, max(at, 0)) + 1, what))
-    return [(what, line) for line, what in sorted(result)]
+        line = bisect.bisect_left(breaks, max(at, 0))
+        result.add((line + 1, max(at, 0) - (breaks[line - 1] if line else -1), what))
+    return sorted(result)

@@ -122,3 +122,29 @@ def test_flags_are_those_of_the_same_contents(spark):
     i = spark.createDataFrame(told, "repo_id string, path string, language string, parse_succeeded boolean, content_sha256 string, at int").selectExpr("*", "timestamp_seconds(at) parsed_at", "path artifact_id")
     got = {(r.repo_id, r.language): (r.files, r.flagged_files) for r in parsing.rates(f, i).collect()}
     assert got == {("r", "javascript"): (3, 1), (None, "javascript"): (1, 1)}
+
+
+# the lines of all errors, also behind an error in the same group, in a skipped block, in markup and on the same line
+EVERY = [
+    ("a = ; b = ; c = ;", "js", [1, 1, 1]), ("f(a b, function () {\n  x = ;\n  y = ;\n});\nz = ;", "js", [1, 2, 3, 5]), ("function f(a,, b) {\n  x = ;\n}", "js", [1, 2]), ("class A {\n  b c\n  d() { x = ; }\n}", "js", [2, 3]),
+    ("switch (a) {\n  b;\n  case 1: x = ;\n  case 2: y = ;\n}", "js", [2, 3, 4]), ("x = {\n  b: = 1,\n  c: = 2,\n  d: 3\n};", "js", [2, 3]), ("interface A {\n  b: ;\n  c: ;\n}", "ts", [2, 3]), ("def f(x) {\n  y = ;\n}", "js", [1, 2]),
+    ("function f() {\n  return <div></span>;\n}\nlet = = 3;\nx = ;", "tsx", [2, 4, 5]), ("const a = <div b=></div>;\nx = ;", "jsx", [1, 2]), ("const a = <div>{b c}</div>, d = <i>}</i>;\nx = ;", "jsx", [1, 1, 2]),
+]
+
+
+@pytest.mark.parametrize(("code", "ext", "lines"), EVERY)
+def test_every_error_is_found(code, ext, lines):
+    assert [line for _, line in syntax.problems(code, ext)] == lines
+
+
+def test_skipped_groups_are_read_once():
+    code = "a b " + "{x y (z w [" * 300 + "])}" * 300
+    assert len(syntax.problems(code, "ts")) > 300
+
+
+def test_invalid_files_keep_every_error(spark):
+    f = [("r", "s", "a.js", "x = ;\nok();\ny = ; z = ;", 1), ("r", "s", "b.js", "let a b", 1), ("r", "s", "b.js", "let a b", 1), ("r", "s", "b.js", "ok();\nx = ;", 1), ("r", "s", "b.js", "ok()", 1)]
+    got = {r.path: r for r in parsing.invalid_files(spark.createDataFrame(f, FILES)).collect()}
+    assert [(e.line, e.column) for e in got["a.js"].all_errors] == [(1, 5), (3, 5), (3, 11)]
+    assert [(e.line, e.column) for e in got["b.js"].all_errors] == [(1, 7), (2, 5)]
+    assert (got["b.js"].first_error, got["b.js"].first_line, got["b.js"].errors) == (got["b.js"].all_errors[0].what, 1, 2)
